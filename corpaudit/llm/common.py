@@ -126,8 +126,12 @@ class Hasher:
         self.up = self.down = np.ones(1, np.uint64)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end]; spans ascend and may overlap only slightly (prefixes share starts)."""
-        out = np.empty(len(starts), np.uint64)
+        """Hashes of data[start:end]; starts ascend."""
+        return self.several(data, starts, [ends])[0]
+
+    def several(self, data: np.ndarray, starts: np.ndarray, each: list[np.ndarray]) -> list[np.ndarray]:
+        """Hashes of data[start:end] for several ends of each start; the first ends are the farthest."""
+        out, ends = np.empty((len(each), len(starts)), np.uint64), each[0]
         at = 0
         while at < len(starts):
             low = int(starts[at])
@@ -138,10 +142,13 @@ class Hasher:
                 self.up, self.down = _powers(n)
             sums = np.zeros(n, np.uint64)
             np.cumsum(self.value[data[low:high]] * self.up[: n - 1], out=sums[1:])
-            a, b = starts[at:stop] - low, ends[at:stop] - low
-            out[at:stop] = (sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64)
+            a = starts[at:stop] - low
+            before, back = sums[a], self.down[a]
+            for k, far in enumerate(each):
+                b = far[at:stop] - low
+                out[k, at:stop] = (sums[b] - before) * back + (b - a).astype(np.uint64)
             at = stop
-        return mix(out)
+        return [mix(row) for row in out]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
