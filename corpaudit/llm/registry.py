@@ -7,13 +7,14 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import bpe, common, decontaminate, jaccard, lm_score, quality, sharding, toxicity, url_filter
+from . import bpe, common, decontaminate, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_lm_score": lm_score.op5_lm_score,
+    "op6_lattice": lattice.op6_lattice,
     "op7_quality": quality.op7_quality,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
