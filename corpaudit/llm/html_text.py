@@ -362,5 +362,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(common.table(spark, sf_dir, "pages")).select("*", F.char_length("text").cast("long").alias("n_chars"))
 
 
-#: The generated pages are regular enough for SQL: the article element, its tags cut at block bounds.
-ORACLE_SQL = None
+#: The generated pages are regular enough for SQL: the article element, cut at its block tags.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x:
+  replace(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM c
+"""

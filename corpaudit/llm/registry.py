@@ -7,12 +7,13 @@ import sys
 
 from pyspark import cloudpickle
 
-from . import bpe, common, decontaminate, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
+from . import bpe, common, decontaminate, html_text, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_html_text": html_text.op4_html_text,
     "op5_lm_score": lm_score.op5_lm_score,
     "op6_lattice": lattice.op6_lattice,
     "op7_quality": quality.op7_quality,
@@ -20,7 +21,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shards": sharding.op10_shards,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL}
+ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL}
 
 # Functions sent to executors carry their modules' code along, so that executors need no copy of the package.
 for _module in [m for name, m in sys.modules.items() if name.startswith(f"{__package__}.")]:
