@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_ROWS = 50_000
+#: Blocks of a small table, so that it still spreads over a cluster.
+LEAST_BLOCKS = 64
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -81,7 +83,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 17, block_ro
     )
     light = common.cut(light)
     rows = light.count()
-    blocks = max(4, math.ceil(rows / block_rows))
+    blocks = max(LEAST_BLOCKS, math.ceil(rows / block_rows))
     order = ["doc_id", "size", "text_crc32"]
     light = light.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks)).cast("int"))
     sizes = dict(light.groupBy("block").count().collect())
@@ -94,7 +96,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 17, block_ro
     dealt = light.withColumn("place", F.row_number().over(local)).join(deal, "block")
     dealt = dealt.select(
         *order, "key", F.size(F.filter("ends", lambda end: end < F.col("place"))).alias("shard"),
-        F.pmod(F.shiftright(F.xxhash64(F.lit("slot"), "key"), 40), F.lit(max(4, blocks))).cast("int").alias("slice"),
+        F.pmod(F.shiftright(F.xxhash64(F.lit("slot"), "key"), 40), F.lit(blocks)).cast("int").alias("slice"),
     )
     dealt = common.cut(dealt)
     # permutation within the shard: random slices in order, rows of a slice in random order
