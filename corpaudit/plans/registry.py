@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = None
+from corpaudit.plans import similarity_queries
+
+_MODULES = [similarity_queries]
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+FLAGSHIP = similarity_queries.sim_phrase_pairs
