@@ -37,11 +37,12 @@ def audit(paras: DataFrame, settings: DataFrame | None = None, groups: tuple[str
 def correct(paras: DataFrame, settings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corrected paragraphs, changes): citation text, reference text, properties, then order, as rules read each other's results."""
     fused, splits = structure.split_fused(paras)
+    fused = fused.persist()
     t = analyse(fused)
     inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras))
-    texts = corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"])
-    props = corrections.required_props(inputs["paragraphs"])
+    texts = corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"]).persist()
+    props = corrections.required_props(inputs["paragraphs"]).persist()
     out = corrections.apply_prop_changes(corrections.apply_text_changes(fused, texts), props)
-    out = corrections.reorder_references(out, t["references"])
+    out = corrections.reorder_references(out, t["references"]).persist()
     kept = texts.select("doc_id", "p_idx", "rule_id", "before", "after").unionByName(props.select("doc_id", "p_idx", "rule_id", F.col("field").alias("before"), F.col("value").cast("string").alias("after"))).unionByName(splits)
     return out, kept
