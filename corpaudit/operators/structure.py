@@ -23,16 +23,23 @@ INSTRUCTOR = r"(?i)^(dr\.|prof\.?|professor|instructor|mr\.|ms\.|mrs\.)\s"
 AUTHOR = r"^[A-ZÀ-Þ][\w'’\-À-ÿ]+(?:\s[A-ZÀ-Þ][\w.'’\-À-ÿ]+){0,4}$"
 YEAR_IN_PARENTHESES = r"\([^)]*(?:19|20)\d{2}"
 
-_ALL = Window.partitionBy("doc_id")
-_ORDER = _ALL.orderBy("p_idx")
-_NEXT = _ORDER.rowsBetween(1, Window.unboundedFollowing)
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def _all():
+    return Window.partitionBy("doc_id")
+
+
+def _following():
+    return _all().orderBy("p_idx").rowsBetween(1, Window.unboundedFollowing)
+
+
+def _so_far():
+    return _all().orderBy("p_idx").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _first(where: Column, value: Column | str = "p_idx") -> Column:
     """Least position of the document where the condition holds."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.min(F.when(where, value)).over(_ALL)
+    return F.min(F.when(where, value)).over(_all())
 
 
 def annotate(paras: DataFrame) -> DataFrame:
@@ -43,43 +50,43 @@ def annotate(paras: DataFrame) -> DataFrame:
     df = df.withColumn("breaks", F.col("page_break_after") | breaks_before)
     # title page
     broken = F.col("page_break_after") | (breaks_before & (p > 0))
-    df = df.withColumn("first_break", F.min(F.when(broken, F.struct(p, F.when(breaks_before, p).otherwise(p + 1).alias("at")))).over(_ALL)["at"])
+    df = df.withColumn("first_break", F.min(F.when(broken, F.struct(p, F.when(breaks_before, p).otherwise(p + 1).alias("at")))).over(_all())["at"])
     before = filled & (p < F.col("first_break"))
-    df = df.withColumn("title_lines", F.count_if(before).over(_ALL)).withColumn("title_prose", F.count_if(before & (F.col("n_words") > 30)).over(_ALL))
+    df = df.withColumn("title_lines", F.count_if(before).over(_all())).withColumn("title_prose", F.count_if(before & (F.col("n_words") > 30)).over(_all()))
     has = (F.col("first_break") <= 30) & F.col("title_lines").between(1, 12) & (F.col("title_prose") == 0)
     df = df.withColumn("has_title_page", F.coalesce(has, F.lit(False))).withColumn("title_end", F.when(F.col("has_title_page"), F.col("first_break")).otherwise(0))
     # where metadata may stand without a title page
     prose = (p < 8) & filled & ((F.col("n_words") > 20) | F.col("text").rlike(YEAR_IN_PARENTHESES))
     df = df.withColumn("prose_at", F.coalesce(_first(prose), F.lit(8)))
-    df = df.withColumn("metadata_end", F.when(F.col("has_title_page"), F.col("title_end")).otherwise(F.coalesce(F.max(F.when(filled & (p < F.least(F.col("prose_at"), F.lit(8))), p + 1)).over(_ALL), F.lit(0))))
+    df = df.withColumn("metadata_end", F.when(F.col("has_title_page"), F.col("title_end")).otherwise(F.coalesce(F.max(F.when(filled & (p < F.least(F.col("prose_at"), F.lit(8))), p + 1)).over(_all()), F.lit(0))))
     # abstract, past a table of contents
-    df = df.withColumn("opening", F.min(F.when(filled & (p >= F.col("title_end")), F.struct(p, t))).over(_ALL))
+    df = df.withColumn("opening", F.min(F.when(filled & (p >= F.col("title_end")), F.struct(p, t))).over(_all()))
     toc = F.col("opening.t").rlike(r"(?i)^table\s+of\s+contents$")
     df = df.withColumn("toc_break", _first(toc & F.col("breaks") & (p > F.col("opening.p_idx")) & (p < F.col("opening.p_idx") + 60)))
     df = df.withColumn("scan", F.coalesce(F.col("toc_break") + 1, F.col("title_end")))
-    df = df.withColumn("candidate", F.min(F.when(filled & (p >= F.col("scan")) & (p < F.col("scan") + 8), F.struct(p, t))).over(_ALL))
+    df = df.withColumn("candidate", F.min(F.when(filled & (p >= F.col("scan")) & (p < F.col("scan") + 8), F.struct(p, t))).over(_all()))
     df = df.withColumn("abstract_heading", F.when(F.col("candidate.t").rlike("(?i)^abstract$"), F.col("candidate.p_idx")))
     later = filled & (p > F.col("abstract_heading"))
-    df = df.withColumn("rank", F.count_if(later).over(_SO_FAR))
+    df = df.withColumn("rank", F.count_if(later).over(_so_far()))
     keyword = t.rlike(r"(?i)^keywords?\s*:")
     df = df.withColumn("stop", _first(later & (keyword | F.col("breaks"))))
     df = df.withColumn("in_abstract", F.coalesce(later & (p < F.coalesce(F.col("stop"), F.lit(2**31 - 1))) & (F.col("rank") <= 3), F.lit(False)))
     df = df.withColumn("keywords", _first(later & keyword & (p == F.col("stop")) & (F.col("rank") <= 4)))
-    df = df.withColumn("abstract_last", F.max(F.when(F.col("in_abstract"), p)).over(_ALL))
+    df = df.withColumn("abstract_last", F.max(F.when(F.col("in_abstract"), p)).over(_all()))
     # reference list: the last heading that entries, or nothing, follow
     entry_like = filled & F.col("text").rlike(REFERENCE_LIKE)
-    df = df.withColumn("entries_follow", F.coalesce(F.max(entry_like).over(_NEXT), F.lit(False))).withColumn("text_follows", F.coalesce(F.max(filled).over(_NEXT), F.lit(False)))
+    df = df.withColumn("entries_follow", F.coalesce(F.max(entry_like).over(_following()), F.lit(False))).withColumn("text_follows", F.coalesce(F.max(filled).over(_following()), F.lit(False)))
     heads = (F.col("entries_follow") | ~F.col("text_follows")) & ~F.col("inside_table")
-    df = df.withColumn("reference_heading", F.max(F.when(heads & t.rlike(REFERENCE_HEADING), p)).over(_ALL))
+    df = df.withColumn("reference_heading", F.max(F.when(heads & t.rlike(REFERENCE_HEADING), p)).over(_all()))
     ends = filled & (p > F.col("reference_heading")) & t.rlike(AFTER_REFERENCES) & (F.length(t) < 30)
     df = df.withColumn("reference_stop", F.coalesce(_first(ends), F.lit(2**31 - 1)))
     df = df.withColumn("is_reference", F.coalesce(filled & (p > F.col("reference_heading")) & (p < F.col("reference_stop")), F.lit(False)))
     fused = heads & (F.col("text_before_break") != "") & F.col("text_after_break").rlike(REFERENCE_HEADING)
-    df = df.withColumn("fused_heading", F.when(F.col("reference_heading").isNull(), F.max(F.when(fused, p)).over(_ALL)))
+    df = df.withColumn("fused_heading", F.when(F.col("reference_heading").isNull(), F.max(F.when(fused, p)).over(_all())))
     df = df.withColumn("body_start", F.coalesce(F.col("keywords") + 1, F.col("abstract_last") + 1, F.col("abstract_heading") + 1, F.col("title_end")))
     past = F.coalesce(p >= F.col("reference_heading"), F.lit(False))
     df = df.withColumn("in_body", filled & (p >= F.col("body_start")) & ~past).withColumn("cites", filled & (p >= F.col("title_end")) & ~past & ~F.col("is_reference"))
-    df = df.withColumn("next_words", F.first(F.when(filled, F.col("n_words")), ignorenulls=True).over(_NEXT))
+    df = df.withColumn("next_words", F.first(F.when(filled, F.col("n_words")), ignorenulls=True).over(_following()))
     return df.drop("first_break", "title_lines", "title_prose", "prose_at", "opening", "toc_break", "scan", "candidate", "rank", "stop", "entries_follow", "text_follows", "reference_stop")
 
 
