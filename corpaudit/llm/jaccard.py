@@ -4,7 +4,8 @@ A document is the set of its distinct n-word shingles (64-bit hashes). Two sets
 among the first |s| - ceil(t |s|) + 1 tokens of either set, under any one order of all tokens; so candidates must
 do so under each of several orders. The first order puts frequent tokens last (a count sketch over all
 documents gives frequencies; any estimate gives a valid order), so shared passages seldom meet; the others are
-independent random orders, checked before a candidate's sets are intersected.
+independent random orders, checked before a candidate's sets are intersected. A bucket's pair must also fit by size and
+by position: of two sets that are similar, the first token they share leaves enough tokens after it in both.
 
 Groups of near copies are linked without listing their pairs: in each bucket of a shared prefix token, all members
 are verified against one pivot; then only members outside a bucket's main component are verified against the
@@ -19,7 +20,6 @@ ignored. Empty input gives empty output.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Counters of the frequency sketch: a fixed size, whatever the corpus.
-SKETCH = 1 << 20
-CHUNKS = 64
+#: Counters of the frequency sketch: a fixed size, whatever the corpus. It travels in compressed chunks.
+BITS, CHUNKS = 24, 256
+_SHIFT = np.uint64(64 - BITS)
 #: Seeds of the random orders; the first also breaks ties of the frequency order.
 ORDERS = (11, 23, 37)
 #: So many ids of candidates are broadcast at most; more are joined by a shuffle.
@@ -68,10 +68,12 @@ def _profile(n: int, schema: pa.Schema):
     """Per row: set size and a 128-bit hash of the set. Per task: its counts of the sketch, in chunks (id null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch = common.Hasher(), np.zeros(SKETCH, np.int32)
+        hasher, sketch = common.Hasher(), np.zeros(1 << BITS, np.uint8)
         for block in common.blocks(batches, "text"):
             value, count = shingles(block.column("text"), n, hasher)
-            sketch += np.bincount((value >> np.uint64(64 - int(math.log2(SKETCH)))).astype(np.int64), minlength=SKETCH).astype(np.int32)
+            counter, seen = np.unique(value >> _SHIFT, return_counts=True)
+            counter = counter.astype(np.int64)
+            sketch[counter] = np.minimum(sketch[counter] + seen, 255)
             ends = np.append(0, np.cumsum(count))
             sums = []
             for seed in (101, 202):
@@ -80,7 +82,7 @@ def _profile(n: int, schema: pa.Schema):
             nothing = pa.nulls(block.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(count), pa.array(sums[0]), pa.array(sums[1]), pa.nulls(block.num_rows, pa.int32()), nothing], schema=schema)
         if sketch.any():
-            parts = [part.tobytes() for part in np.split(sketch, CHUNKS)]
+            parts = [pa.compress(part.tobytes(), "zstd", asbytes=True) for part in np.split(sketch, CHUNKS)]
             none = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
@@ -88,27 +90,28 @@ def _profile(n: int, schema: pa.Schema):
 
 
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the chunks that a task received, up to 65,535."""
+    size = (1 << BITS) // CHUNKS
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            wide = counts is not None and len(counts) == SKETCH // CHUNKS * 8
-            new = np.frombuffer(counts, np.int64 if wide else np.int32).astype(np.int64)
-            sums[chunk] = sums[chunk] + new if chunk in sums else new
+            new = np.frombuffer(pa.decompress(counts, size, "zstd", asbytes=True), np.uint8)
+            sums[chunk] = np.minimum(sums.get(chunk, 0) + new.astype(np.int64), 65_535)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counts"])
+        parts = [pa.compress(v.astype(np.uint16).tobytes(), "zstd", asbytes=True) for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
 
 
 def _classes(parts: DataFrame) -> np.ndarray:
     """Frequency class of each counter of the sketch: 0 for what chance fills, then by the power of two."""
-    parts = parts.select("chunk", "counts").where("chunk is not null")
-    # summed per chunk where the rows lie, then per chunk across them: CHUNKS rows reach the driver
-    summed = parts.repartition(CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
-    total = np.zeros(SKETCH, np.int64)
-    for chunk, counts in summed:
-        size = SKETCH // CHUNKS
-        total[chunk * size : (chunk + 1) * size] += np.frombuffer(counts, np.int64)
-    usual = total.mean()
-    return np.floor(np.log2(np.maximum(1.0, total / (2 * usual + 16)))).astype(np.uint8) + (total > 2 * usual + 16)
+    parts = parts.where("chunk is not null").select("chunk", "counts")
+    size = (1 << BITS) // CHUNKS
+    total = np.zeros(1 << BITS, np.uint16)
+    for chunk, counts in parts.repartition("chunk").mapInArrow(_add_chunks, "chunk int, counts binary").toLocalIterator():
+        total[chunk * size : (chunk + 1) * size] = np.frombuffer(pa.decompress(bytes(counts), 2 * size, "zstd", asbytes=True), np.uint16)
+    usual = 2 * float(total.mean()) + 4
+    bounds = usual * 2.0 ** np.arange(24)
+    return np.searchsorted(bounds, total).astype(np.uint8)
 
 
 def prefix_size(count: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -120,16 +123,15 @@ def _prefixes(n: int, num: int, den: int, classes, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, by_counter = common.Hasher(), classes.value
-        shift = np.uint64(64 - int(math.log2(SKETCH)))
         for block in common.blocks(batches, "text"):
             value, count = shingles(block.column("text"), n, hasher)
             row = common.per_row(count)
-            order = np.lexsort((common.mix(value, ORDERS[0]), by_counter[value >> shift], row))
+            order = np.lexsort((common.mix(value, ORDERS[0]), by_counter[value >> _SHIFT], row))
             place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
             take = place < prefix_size(count, num, den)[row]
             token, row = value[order[take]].view(np.int64), row[take]
             ids = block.column("id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(token), ids, pa.array(count[row])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(token), ids, pa.array(count[row].astype(np.int32)), pa.array(place[take].astype(np.int32))], schema=schema)
 
     return run
 
@@ -175,6 +177,7 @@ def _verify(num: int, den: int, schema: pa.Schema):
                     kept.append(i)
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in kept], pa.int64()), pa.array([b_ids[i] for i in kept], pa.int64())], schema=schema)
+        common.release()
 
     return run
 
@@ -200,35 +203,44 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # equal sets are one document
     first = common.cut(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     known = docs.where("id is not null")
-    tokens = known.mapInArrow(_prefixes(n, num, den, classes, pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])), "token long, id long, n long")
+    tokens = known.mapInArrow(_prefixes(n, num, den, classes, pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])), "token long, id long, n int, pos int")
     tokens = common.cut(tokens)
     # rows of copies go: all but the smallest id of each set
     copies = profile.where("n > 0").join(first.where("copies > 1").select("h1", "h2", F.col("id").alias("least")), ["h1", "h2"]).where("id <> least").select("id")
-    tokens = tokens.join(common.bounded(copies, IDS), "id", "left_anti").distinct()
-    buckets = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    tokens = common.cut(tokens.join(buckets, "token").select("token", "id", "n", "pivot"))
-    candidates = common.bounded(tokens.select("id").distinct(), IDS)
-    sets = known.join(candidates, "id", "left_semi")
-    if not profile.groupBy("id").count().where("count > 1 and id is not null").isEmpty():
-        sets = sets.dropDuplicates(["id", "text"])
-    sets = common.cut(sets.mapInArrow(_sets(n, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])), "id long, n long, shingles array<long>"))
-    fits = F.expr(f"{num} * greatest(n, m) <= {den} * least(n, m)")
+    tokens = tokens.join(common.bounded(copies, IDS), "id", "left_anti")
+    repeated = not profile.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:
+        tokens = tokens.distinct()
+    # buckets of two members or more; the pivot is the smallest id, with the size of its set
+    buckets = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "pos")).alias("pivot")).where("members > 1")
+    tokens = common.cut(tokens.join(buckets, "token").select("token", "id", "n", "pos", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("m"), F.col("pivot.pos").alias("at")))
+    # sizes fit; and if this is the first token that two sets share, what follows it in either is enough
+    fits = F.expr(f"{num} * greatest(n, m) <= {den} * least(n, m) AND {num + den}L * least(n - pos, m - at) >= {num}L * (n + m)")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        members = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = known.join(common.bounded(common.cut(members), IDS), "id", "left_semi")
+        if repeated:
+            sets = sets.dropDuplicates(["id", "text"])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        sets = common.cut(sets.mapInArrow(_sets(n, schema), "id long, n long, shingles array<long>"))
+        return common.cut(_links(pairs, sets, num, den))
+
     # every member of a bucket against its pivot
-    size = tokens.where("id = pivot").select("token", F.col("n").alias("m"))
-    stars = tokens.where("id <> pivot").join(size, "token").where(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = common.cut(_links(stars, sets, num, den))
-    reached = common.cut(common.components(links))
+    stars = common.cut(tokens.where("id <> pivot").where(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    reached = common.cut(common.components(verified(stars)))
     # what a bucket holds outside its main component, against all of it
-    held = tokens.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component"))
+    held = tokens.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
     shares = held.groupBy("token", "component").agg(F.count("*").alias("share"))
     mains = shares.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("share", "component")).alias("main")).where("parts > 1")
     mixed = common.cut(held.join(mains.select("token", "main"), "token"))
-    outside = mixed.where("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
+    outside = mixed.where("component <> main").select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("other"))
     rest = mixed.join(outside, "token").where(F.col("component") != F.col("other")).where(fits)
     rest = rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = common.cut(_links(rest, sets, num, den))
-    reached = common.components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    rest = common.cut(rest.join(stars, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = reached.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest))
+        reached = common.components(more)
     # from set to class, and from each row to its set
     classed = first.join(reached.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = profile.join(classed, ["h1", "h2"], "left")
