@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Bytes of text whose words share one replay.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Words whose ids a task keeps from block to block before it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -208,6 +208,7 @@ def _decoder(tokens: list[bytes], ids_col: str, schema: pa.Schema):
             out = [b"".join(map(get, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch.column(ids_col).to_pylist()]
             made = {"decoded": pa.array(out, pa.binary())}
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else batch.column(f.name) for f in schema], schema=schema)
+        common.release()
 
     return decode
 
@@ -242,7 +243,12 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     import public_tokenizers
 
     tokens = read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = decode(encode(docs.select("doc_id", "text"), tokens, pattern or public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids"), tokens)
+    common.configure(docs.sparkSession)
+    # both steps in one worker: the decoder reads nothing but the encoder's ids
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    whole = T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())])
+    encode_, decode_ = _encoder(tokens, pattern or public_tokenizers.PATTERN, "text", _arrow(schema)), _decoder(tokens, "ids", _arrow(whole))
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: decode_(encode_(batches)), whole)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
