@@ -1,10 +1,13 @@
 """Cross-entropy difference: documents scored by how much better a target model predicts them than a background one.
 
 Both models are word bigram models with back-off to unigrams, over one vocabulary and one set of bigrams
-(Moore and Lewis, 2010). Counts are gathered over all documents: each task counts its own words and bigrams,
-Spark adds them up. A word enters the vocabulary, and a bigram the models, if it makes up at least a fixed
-share of all tokens; so a vocabulary has 1 / WORD_SHARE words and a model 1 / PAIR_SHARE bigrams at most,
-whatever the corpus, and both are broadcast. Other words are one unknown word, other bigrams back off.
+(Moore and Lewis, 2010), counted over all documents. Every word and every bigram of LEAST occurrences is in the models,
+whatever the size of the corpus; other words are one unknown word, other bigrams back off.
+
+The models are never held in one place. Documents are put into blocks by a hash. A block sends its distinct words, in
+ascending order and cut into shards of the hash range; a shard adds up the counts of all blocks and answers each
+block with the totals of the block's own words, in their order. Bigrams of the words then known take the same way.
+So a task holds one block or one shard, both bounded in size, of which a larger corpus has more.
 The difference of the two losses per token, averaged, is the document's score: above zero it reads like the target.
 
 Defined results: null, empty and wordless texts have no tokens and null losses and score; repeated rows count and score
@@ -15,7 +18,6 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,167 +26,181 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Least shares of all tokens, and the least counts, of words and bigrams in the models.
-WORD_SHARE, PAIR_SHARE, LEAST = 1 / 65_536, 1 / 1_000_000, 2
+#: Least count of words and bigrams in the models; there is no least share of all tokens.
+LEAST, WORD_SHARE, PAIR_SHARE = 2, 0, 0
 #: Weight of the bigram estimate, and what is added to each unigram count.
 LAMBDA, ALPHA = 0.6, 0.5
-#: Distinct entries that a task holds before it passes them on.
-HELD = 1_500_000
 #: So many target ids are broadcast at most; more are joined by a shuffle.
 IDS = 2_000_000
+#: Bytes of text in a block, on average; there are as many shards as blocks.
+SCORED_BYTES = 8_000_000
+#: Stand for the start of a text and for the unknown word among the hashes of words.
+START, UNKNOWN = 1, 2
 SEPARATORS = common.byte_mask(common.SPACES)
-_SCHEMA = pa.schema([("key", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
-
-
-class Counter:
-    """Counts by key of one task, passed on when too many keys are held."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        key, at = np.unique(keys, return_inverse=True)
-        self._put(key, np.bincount(at, minlength=len(key)).astype(np.int64), np.bincount(at, target, len(key)).astype(np.int64))
-
-    def _put(self, *part: np.ndarray) -> None:
-        self.parts.append(part)
-        self.size += len(part[0])
-
-    def full(self) -> bool:
-        if self.size > HELD:
-            self._merge()
-        return self.size > HELD // 2
-
-    def _merge(self) -> None:
-        key, background, target = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        self.parts, self.size = [], 0
-        self._put(key[begin], np.add.reduceat(background[order], begin), np.add.reduceat(target[order], begin))
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self._merge()
-            key, background, target = self.parts[0]
-            for at in range(0, len(key), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (key.view(np.int64), background, target)], schema=_SCHEMA)
-        self.parts, self.size = [], 0
-
-
-def _hashed(column: pa.Array, hasher: common.Hasher) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = common.utf8(column)
-    starts, ends, first = common.words(data, offsets, SEPARATORS)
-    return hasher.spans(data, starts, ends), first
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, counter = common.Hasher(), Counter()
-    for block in common.blocks(batches, "text"):
-        word, first = _hashed(block.column("text"), hasher)
-        counter.add(word.view(np.int64), np.asarray(block.column("target"))[common.per_row(np.diff(first))])
-        if counter.full():
-            yield from counter.out()
-    yield from counter.out()
-
-
-def _ids(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Numbers of words in the vocabulary (ascending hashes); the last number is the unknown word."""
-    at = np.searchsorted(vocabulary, words)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == words, at, len(vocabulary)) if len(vocabulary) else np.zeros(len(words), np.int64)
-
-
-def _pairs(word: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each token with its predecessor; the first token of a text follows the start (number size + 1)."""
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    begin = first[:-1][first[:-1] < first[1:]]
-    before[begin] = size + 1
-    return before * (size + 2) + word, before
-
-
-def _count_pairs(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counter, known = common.Hasher(), Counter(), vocabulary.value
-        for block in common.blocks(batches, "text"):
-            word, first = _hashed(block.column("text"), hasher)
-            key, _ = _pairs(_ids(word.view(np.int64), known), first, len(known))
-            counter.add(key, np.asarray(block.column("target"))[common.per_row(np.diff(first))])
-            if counter.full():
-                yield from counter.out()
-        yield from counter.out()
+_PARTS = "shard long, block long, keys binary, counts binary"
+_TOTALS = "block long, shard long, kind long, totals binary, sums binary"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("score", pa.float64())])
+#: Words have counts as a word and as a predecessor, bigrams one, in background and target each.
+_WORDS, _PAIRS, KINDS = 0, 1, (4, 2)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The bytes of the numbers, all first ones before all second ones: the leading zeros compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T).tobytes()
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _parts(block: int, shards: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row for each shard: ascending keys as differences, and their counts (a row for each kind of count)."""
+    cuts = np.searchsorted(keys, np.array([-(-(i << 64) // shards) for i in range(1, shards)], np.uint64))
+    ends = [0, *cuts.tolist(), len(keys)]
+    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    columns = [list(range(shards)), [block] * shards, [_pack(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], [_pack(counts[:, x].astype(np.uint32)) for x in spans]]
+    return pa.table(dict(zip(("shard", "block", "keys", "counts"), map(pa.array, columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary())), strict=True)))
+
+
+def _add(kind: int):
+    """Totals of a shard's keys, to each block those of its own keys; sums: how many are known, and the counts of all and of the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = table.to_pydict()
+        keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in columns["keys"]]
+        counts = [_unpack(x, np.uint32).reshape(-1, len(k)) if len(k) else None for x, k in zip(columns["counts"], keys, strict=True)]
+        there = [c for c in counts if c is not None]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.array([np.bincount(at, c) for c in np.concatenate(there, axis=1)]).astype(np.int64) if there else np.zeros((KINDS[kind], 0), np.int64)
+        known, rest = totals[0] >= LEAST, (totals[0] > 0) & (totals[0] < LEAST)
+        sums = _pack(np.array([known.sum(), *totals.sum(1), *totals[:, rest].sum(1)], np.int64))
+        ends = np.cumsum([0, *map(len, keys)])
+        own = [_pack(totals[:, at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        n = len(own)
+        del keys, counts, there, at, totals
+        common.release()
+        return pa.table({"block": columns["block"], "shard": columns["shard"], "kind": [kind] * n, "totals": pa.array(own, pa.binary()), "sums": pa.array([sums] * n, pa.binary())})
 
     return run
 
 
+def _keys(past: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of each bigram."""
+    return common.mix(common.mix(past, 5) + word, 6)
+
+
+class Block:
+    """The tokens of a block's documents in one row of hashes, and each token's predecessor; a text's first follows START."""
+
+    def __init__(self, docs: pa.Table):
+        hasher, words, firsts, self.number = common.Hasher(), [], [], docs.column("block")[0].as_py()
+        for part in common.blocks(docs.combine_chunks().to_batches(), "text"):
+            data, offsets = common.utf8(part.column("text"))
+            starts, ends, first = common.words(data, offsets, SEPARATORS)
+            words.append(hasher.spans(data, starts, ends))
+            firsts.append(np.diff(first))
+        self.tokens = np.concatenate(firsts)
+        self.word = np.concatenate(words)
+        self.first = np.append(0, np.cumsum(self.tokens))
+        self.past = np.empty_like(self.word)
+        self.past[1:] = self.word[:-1]
+        self.past[self.first[:-1][self.tokens > 0]] = START
+        row = common.per_row(self.tokens)
+        self.weights = [np.asarray(docs.column(c))[row] for c in ("background", "target")]
+        self.words, at = np.unique(np.concatenate([self.word, self.past]), return_inverse=True)
+        at = at.astype(np.int32)
+        self.at_word, self.at_past = at[: len(self.word)], at[len(self.word) :]
+        self.word = self.past = None
+
+    def word_counts(self) -> np.ndarray:
+        """Counts in background and target as a word, and as a predecessor."""
+        return np.array([np.bincount(at, w, len(self.words)) for at in (self.at_word, self.at_past) for w in self.weights])
+
+    def learn(self, totals: pa.Table) -> None:
+        """Take the totals of the words; unknown ones get those of all unknown words."""
+        self.totals, sums = _received(totals, _WORDS, len(self.words))
+        known = (self.totals[0] >= LEAST) | (self.words == START)
+        self.size, self.all = sums[0], sums[1:5]
+        self.totals = np.where(known, self.totals, sums[5:, None])
+        named = np.where(known, self.words, np.uint64(UNKNOWN))
+        self.pairs, self.at_pair = np.unique(_keys(named[self.at_past], named[self.at_word]), return_inverse=True)
+        self.at_pair = self.at_pair.astype(np.int32)
+        common.release()
+
+    def losses(self, totals: pa.Table) -> np.ndarray:
+        """Summed losses of each document under background and target."""
+        pairs, _ = _received(totals, _PAIRS, len(self.pairs))
+        kept, out = pairs[0] >= LEAST, []
+        for k in (0, 1):
+            single = (self.totals[k] + ALPHA) / (self.all[k] + ALPHA * (self.size + 1))
+            pair = np.where(kept, pairs[k], 0)[self.at_pair] / np.maximum(self.totals[2 + k], 1)[self.at_past]
+            total = np.append(0, np.cumsum(-np.log(LAMBDA * pair + (1 - LAMBDA) * single[self.at_word])))
+            out.append(total[self.first[1:]] - total[self.first[:-1]])
+        return np.column_stack(out)
+
+
+def _received(table: pa.Table, kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of a block's keys in their order, and the sums over all shards."""
+    rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
+    sums = np.sum([_unpack(r["sums"], np.int64) for r in rows], axis=0)
+    totals = np.concatenate([_unpack(r["totals"], np.int64).reshape(KINDS[kind], -1) for r in rows], axis=1)
+    if totals.shape[1] != size:
+        raise ValueError("the documents changed between two reads")
+    return totals, sums
+
+
 class Model:
-    """Log losses of both models: of each kept bigram, and of each word where it backs off."""
-
-    def __init__(self, vocabulary: np.ndarray, keys: np.ndarray, pairs: np.ndarray, before: np.ndarray, words: np.ndarray):
-        """pairs: counts of kept bigrams; before: counts of each word as a predecessor; words: counts. A column for each model."""
-        self.vocabulary, self.keys = vocabulary, keys
-        size = len(vocabulary)
-        self.single = (words + ALPHA) / (words.sum(0) + ALPHA * (size + 1))
-        past, word = keys // (size + 2), keys % (size + 2)
-        self.pair = -np.log(LAMBDA * pairs / np.maximum(before[past], 1) + (1 - LAMBDA) * self.single[word]).astype(np.float32)
-        self.single = -np.log((1 - LAMBDA) * self.single).astype(np.float32)
-
-    def losses(self, column: pa.Array, hasher: common.Hasher) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each row, and its summed losses under background and target."""
-        word, first = _hashed(column, hasher)
-        word = _ids(word.view(np.int64), self.vocabulary)
-        key, _ = _pairs(word, first, len(self.vocabulary))
-        loss = self.single[word].astype(np.float64)
-        if len(self.keys):
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == key
-            loss[hit] = self.pair[at[hit]]
-        total = np.vstack([np.zeros(2), np.cumsum(loss, axis=0)])
-        return np.diff(first), total[first[1:]] - total[first[:-1]]
+    """What the models learn from: all documents, and the ids of the target. They are counted when documents are scored."""
+
+    def __init__(self, docs: DataFrame, ids: DataFrame):
+        self.docs, self.ids = docs, ids
+
+    def rows(self) -> DataFrame:
+        out = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(1).cast("long").alias("background"))
+        return out.join(self.ids, "doc_id", "left").select("doc_id", "text", "background", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
 
 
 def fit(docs: DataFrame, target: DataFrame) -> Model:
     """docs: all documents; target: the ids (doc_id) of those that the target model learns from."""
-    spark = docs.sparkSession
-    common.configure(spark)
-    ids = common.bounded(target.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(1)), IDS)
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
-    add = lambda counted: counted.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    words = common.cut(add(marked.mapInArrow(_count_words, "key long, background long, target long")))
-    tokens, of_target = words.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
-    kept = sorted((r.key, r.background, r.target) for r in words.where(F.col("background") >= max(LEAST, math.ceil(tokens * WORD_SHARE))).collect())
-    size = len(kept)
-    vocabulary = np.array([k for k, _, _ in kept], np.int64)
-    counts = np.array([[b, t] for _, b, t in kept], np.float64).reshape(-1, 2)
-    counts = np.vstack([counts, np.maximum(np.array([[tokens, of_target]]) - counts.sum(0), 0)])
-    pairs = common.cut(add(marked.mapInArrow(_count_pairs(spark.sparkContext.broadcast(vocabulary)), "key long, background long, target long")))
-    before = pairs.groupBy((F.expr(f"key div {size + 2}")).alias("past")).agg(F.sum("background").alias("background"), F.sum("target").alias("target")).collect()
-    past = np.zeros((size + 2, 2))
-    for r in before:
-        past[r.past] = r.background, r.target
-    frequent = pairs.where(F.col("background") >= max(LEAST, math.ceil(tokens * PAIR_SHARE))).orderBy("key").toArrow()
-    keys = frequent.column("key").to_numpy()
-    return Model(vocabulary, keys, np.column_stack([frequent.column("background").to_numpy(), frequent.column("target").to_numpy()]).astype(np.float64).reshape(-1, 2), past, counts)
+    common.configure(docs.sparkSession)
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return Model(docs, common.bounded(ids.withColumn("target", F.lit(1)), IDS))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, loss_background, loss_target, score (background less target) per token, for every row."""
     common.configure(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, model = common.Hasher(), sent.value
-        for block in common.blocks(batches, "text"):
-            tokens, loss = model.losses(block.column("text"), hasher)
-            none = tokens == 0
-            mean = np.round(loss / np.maximum(tokens, 1)[:, None], 9)
-            columns = [pa.array(x, mask=none) for x in (mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1])]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(tokens), *columns], names=["doc_id", "n_tokens", "loss_background", "loss_target", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
+    rows = model.rows().withColumn("scored", F.lit(True))
+    if not docs.sameSemantics(model.docs):
+        none = F.lit(0).cast("long")
+        new = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("background"), none.alias("target"), F.lit(True).alias("scored"))
+        rows = rows.withColumn("scored", F.lit(False)).union(new)
+    size = sum(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for d in (docs, model.docs)[: 1 + (not docs.sameSemantics(model.docs))])
+    n = math.ceil(size / SCORED_BYTES) or 1
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long").alias("block"), "doc_id", "text", "background", "target", "scored")
+
+    def word_parts(docs: pa.Table) -> pa.Table:
+        block = Block(docs)
+        return _parts(block.number, n, block.words, block.word_counts())
+
+    def pair_parts(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        block = Block(docs)
+        block.learn(totals)
+        return _parts(block.number, n, block.pairs, np.array([np.bincount(block.at_pair, w, len(block.pairs)) for w in block.weights]))
+
+    def scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
+        block = Block(docs)
+        block.learn(totals)
+        loss, none = block.losses(totals), block.tokens == 0
+        mean = np.round(loss / np.maximum(block.tokens, 1)[:, None], 9)
+        columns = [pa.array(x, mask=none) for x in (mean[:, 0], mean[:, 1], mean[:, 0] - mean[:, 1])]
+        out = pa.Table.from_arrays([docs.column("doc_id"), pa.array(block.tokens), *columns], schema=_SCORES)
+        return out.filter(docs.column("scored"))
+
+    words = rows.groupBy("block").applyInArrow(word_parts, _PARTS).groupBy("shard").applyInArrow(_add(_WORDS), _TOTALS)
+    pairs = rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(pair_parts, _PARTS).groupBy("shard").applyInArrow(_add(_PAIRS), _TOTALS)
+    known = words.union(pairs)
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scores, "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,25 @@ def test_lm_counts_and_losses(spark):
     assert lm_score.score(docs.limit(0), lm_score.fit(docs.limit(0), target)).isEmpty()
 
 
+def test_lm_keeps_rare_words_of_a_large_corpus(spark):
+    # 400,000 tokens: a share of 1/65,536 would ask for 7 occurrences of a word
+    texts = ["river stone paper light " * 1000] * 100 + ["zyx wvu", "zyx wvu", "zyx tsr", "house"]
+    docs = docs_of(spark, texts)
+    model = lm_score.fit(docs, spark.createDataFrame([(100,), (101,)], "doc_id long"))
+    rows = {r.doc_id: r for r in lm_score.score(docs, model).collect()}
+    tokens, words = 400_007, 6  # known: the four, zyx and wvu
+    single = lambda c: (c + lm_score.ALPHA) / (tokens + lm_score.ALPHA * (words + 1))
+    loss = lambda pair, past, c: -math.log(lm_score.LAMBDA * pair / past + (1 - lm_score.LAMBDA) * single(c))
+    assert abs(rows[100].loss_background - (loss(3, 104, 3) + loss(2, 3, 2)) / 2) < 1e-5
+    # a bigram seen once, and an unknown word after the start, back off to the two unknown tokens
+    assert abs(rows[102].loss_background - (loss(3, 104, 3) + loss(0, 1, 2)) / 2) < 1e-5
+    assert abs(rows[103].loss_background - loss(0, 1, 2)) < 1e-5
+    # documents that the model was not fitted on
+    new = {r.doc_id: r for r in lm_score.score(docs_of(spark, ["zyx never", None, "wvu zyx"]), model).collect()}
+    assert abs(new[0].loss_background - rows[102].loss_background) < 1e-6 and new[1].score is None
+    assert abs(new[2].loss_background - (loss(0, 1, 2) + loss(0, 1, 3)) / 2) < 1e-5
+
+
 # --------------------------------------------------------------------- op 6
 
 
