@@ -154,7 +154,7 @@ def _verify(num: int, den: int, schema: pa.Schema):
         return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, list] = (-1, [])
+        held: tuple = (-1, None, [])
         for batch in batches:
             a_ids, b_ids = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             sides = []
@@ -166,9 +166,10 @@ def _verify(num: int, den: int, schema: pa.Schema):
             for i, a in enumerate(a_ids):
                 left, right = (flat[ends[i] : ends[i + 1]] for flat, ends in sides)
                 size_l, size_r = (int(prefix_size(np.array([len(s)]), num, den)[0]) for s in (left, right))
-                if held[0] != a:
-                    held = (a, [prefix(left, seed, size_l) for seed in ORDERS[1:]])
-                if any(not np.isin(prefix(right, seed, size_r), mine).any() for seed, mine in zip(ORDERS[1:], held[1], strict=True)):
+                # an id may have several sets
+                if held[0] != a or not np.array_equal(held[1], left):
+                    held = (a, left, [prefix(left, seed, size_l) for seed in ORDERS[1:]])
+                if any(not np.isin(prefix(right, seed, size_r), mine).any() for seed, mine in zip(ORDERS[1:], held[2], strict=True)):
                     continue
                 # both ascend and hold no value twice
                 at = np.searchsorted(left, right)
@@ -205,10 +206,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     known = docs.where("id is not null")
     tokens = known.mapInArrow(_prefixes(n, num, den, classes, pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])), "token long, id long, n int, pos int")
     tokens = common.cut(tokens)
-    # rows of copies go: all but the smallest id of each set
+    repeated = not profile.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    # rows of copies go: all but the smallest id of each set; an id with other sets too stays, as it has the links of each
     copies = profile.where("n > 0").join(first.where("copies > 1").select("h1", "h2", F.col("id").alias("least")), ["h1", "h2"]).where("id <> least").select("id")
+    if repeated:
+        several = profile.where("n > 0").groupBy("id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1")
+        copies = copies.join(several, "id", "left_anti")
     tokens = tokens.join(common.bounded(copies, IDS), "id", "left_anti")
-    repeated = not profile.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
     if repeated:
         tokens = tokens.distinct()
     # buckets of two members or more; the pivot is the smallest id, with the size of its set

@@ -344,6 +344,17 @@ def test_jaccard_classes_equal_brute_force(spark):
     assert jaccard.jaccard_classes(docs.limit(0)).isEmpty()
 
 
+def test_jaccard_ids_with_several_texts_keep_the_links_of_each(spark):
+    rng = random.Random(19)
+    one, two, three, four, five = (sentence(rng, 80) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, one), (5, one), (5, two), (7, near(two)), (8, near(one))]  # one text of 5 is a copy of 1's
+    rows += [(2, three), (3, four), (9, three), (9, four), (10, near(four)), (11, five), (12, five)]  # both texts of 9 are copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.component_id) for r in jaccard.jaccard_classes(docs, 4, 85, 100).collect()}
+    assert found == {(i, 1) for i in (1, 5, 7, 8)} | {(i, 2) for i in (2, 3, 9, 10)} | {(11, 11), (12, 11)}
+
+
 # -------------------------------------------------------------------- op 10
 
 
