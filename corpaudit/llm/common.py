@@ -6,6 +6,7 @@ Blocks are bounded in bytes (one row at least), which bounds a task's memory.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -40,9 +41,11 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -55,16 +58,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table of ``cut`` that nothing lazy reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a small table for broadcast after counting it; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int, bytes_: int = 64_000_000) -> DataFrame:
+    """Mark a small written table for broadcast after counting its rows and bytes; a larger one is left to a shuffle join."""
+    sizes = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total = df.agg(F.count("*").alias("n"), *(F.sum(s).alias(f"s{i}") for i, s in enumerate(sizes))).first()
+    return F.broadcast(df) if total[0] <= rows and sum(x or 0 for x in total[1:]) <= bytes_ else df
 
 
 # ---------------------------------------------------------------- text blocks
@@ -107,8 +120,8 @@ def byte_mask(members: bytes) -> np.ndarray:
 #: A-Z to a-z, all other bytes as they are.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 32
-_ODD = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 21
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -123,44 +136,44 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_ODD to the power i and its inverse modulo 2^64, for i < n."""
-    up, down = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Hasher:
-    """64-bit hashes of byte spans, many at a time; equal bytes give equal hashes."""
+    """64-bit hashes of byte spans, many at a time, eight bytes a step.
+
+    Equal bytes give equal hashes. Of spans up to eight bytes no two of one length collide; of others any two do with a
+    chance of about 2^-64, whatever their bytes: every step mixes all bits, and long spans take a cryptographic hash.
+    """
 
     def __init__(self, fold: np.ndarray = FOLD):
-        self.value = mix(fold.astype(np.uint64), 77)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.fold = fold
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end]; starts ascend."""
+        """Hashes of data[start:end]."""
         return self.several(data, starts, [ends])[0]
 
     def several(self, data: np.ndarray, starts: np.ndarray, each: list[np.ndarray]) -> list[np.ndarray]:
-        """Hashes of data[start:end] for several ends of each start; the first ends are the farthest."""
-        out, ends = np.empty((len(each), len(starts)), np.uint64), each[0]
-        at = 0
-        while at < len(starts):
-            low = int(starts[at])
-            stop = max(at + 1, int(np.searchsorted(starts, low + _CHUNK)))
-            high = int(ends[at:stop].max())
-            n = high - low + 1
-            if len(self.up) < n:
-                self.up, self.down = _powers(n)
-            sums = np.zeros(n, np.uint64)
-            np.cumsum(self.value[data[low:high]] * self.up[: n - 1], out=sums[1:])
-            a = starts[at:stop] - low
-            before, back = sums[a], self.down[a]
-            for k, far in enumerate(each):
-                b = far[at:stop] - low
-                out[k, at:stop] = (sums[b] - before) * back + (b - a).astype(np.uint64)
-            at = stop
-        return [mix(row) for row in out]
+        """Hashes of data[start:end] for several ends of each start."""
+        folded = np.zeros(len(data) + 8, np.uint8)
+        folded[: len(data)] = self.fold[data]
+        eight = np.ndarray((len(data) + 1,), "<u8", folded, strides=(1,))
+        return [self._hash(folded, eight, starts, ends) for ends in each]
+
+    @staticmethod
+    def _hash(folded: np.ndarray, eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = mix(size.astype(np.uint64), 77)
+        long = np.flatnonzero(size > _LONG)
+        for i in long.tolist():
+            digest = hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        todo = np.flatnonzero((size > 0) & (size <= _LONG))
+        at, left = starts[todo], size[todo]
+        while len(todo):
+            # of the last bytes, those past the end are shifted out
+            over = (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+            out[todo] = mix(out[todo] ^ (eight[at] << over), 78)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,16 +209,16 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 # ------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest node reachable from each.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each is a minimum per node and a
-    join back to its edges, so no neighbourhood is ever gathered in one place. Nodes without an edge are
-    absent from the result. Null ends and loops are ignored.
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until nothing changes: each is a minimum
+    per node and a join back to its edges, so no neighbourhood is ever gathered in one place. Nodes without an edge
+    are absent from the result. Null ends and loops are ignored.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(limit):
+    while True:
         # large star: neighbours above a node are tied to the smallest of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -214,7 +227,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        before, edges = edges, cut(small.where("u <> v").distinct())
+        drop(before)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

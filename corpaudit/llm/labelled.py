@@ -20,7 +20,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     """(text, label) of per_class documents of each label at most, without those of the held-out fold.
 
     The bound is a parameter of the fit alone: ids are taken in the order of a hash, so the sample spreads over
-    the corpus. Null ids and labels, and ids with several labels, teach nothing. Of repeated rows one counts.
+    the corpus. Null ids and labels, and ids with several labels, teach nothing. Of several texts of an id the
+    smallest counts, null only if there is no other.
     """
     ids = docs.select("doc_id").where(~fold).distinct()
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
@@ -29,5 +30,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     order = F.xxhash64("doc_id")
     chosen = known.where("label = 0").orderBy(order, "doc_id").limit(per_class).union(known.where("label = 1").orderBy(order, "doc_id").limit(per_class))
     chosen = common.cut(chosen)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     return common.cut(rows.select("text", "label").repartition(parts))

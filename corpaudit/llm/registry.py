@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
-import sys
-
-from pyspark import cloudpickle
-
-from . import bpe, common, decontaminate, html_text, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -22,8 +17,3 @@ QUERIES = {
     "op10_shards": sharding.op10_shards,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL}
-
-# Functions sent to executors carry their modules' code along, so that executors need no copy of the package.
-for _module in [m for name, m in sys.modules.items() if name.startswith(f"{__package__}.")]:
-    cloudpickle.register_pickle_by_value(_module)
-cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
