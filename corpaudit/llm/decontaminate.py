@@ -9,8 +9,9 @@ Documents are read once in place: no shuffle, memory bounded by a block of text.
 of bounded size, one pass over the documents for each (one block for usual benchmarks).
 
 Defined results: null, empty or wordless texts and items match nothing; items of fewer than ``min_words`` words
-match nothing, as such short word runs identify no item; repeated documents and items each give their rows;
-extra columns are ignored by find_leaks and kept by decontaminate; empty tables give empty results.
+match only a text that has the same words and no others, as such short word runs identify no item within a longer text;
+repeated documents and items each give their rows; extra columns are ignored by find_leaks and kept by decontaminate;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -68,16 +69,17 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], rate: float, min_words: int):
         hasher = common.Hasher()
-        texts = pa.array([text for _, text in rows], pa.string())
+        self.min_words = min_words
+        texts = pc.utf8_lower(pa.array([text for _, text in rows], pa.string()))
         data, offsets = common.utf8(texts)
         starts, ends, first = common.words(data, offsets, SEPARATORS)
         hashes = hasher.spans(data, starts, ends).tolist()
         self.items, keys = [], defaultdict(list)
         for (item_id, _), a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
             size = b - a
-            if size < min_words:
+            if not size:
                 continue
-            budget = int(rate * size)
+            budget = int(rate * size) if size >= min_words else 0
             number = len(self.items)
             self.items.append((item_id, hashes[a:b], budget))
             cuts = [size * i // (budget + 1) for i in range(budget + 2)]
@@ -97,7 +99,7 @@ class Items:
 
     def find(self, column: pa.Array, hasher: common.Hasher) -> list[tuple[int, int, int, int, int]]:
         """(row, item_id, distance, first word, end word) of each item that a text holds, best place only."""
-        data, offsets = common.utf8(column)
+        data, offsets = common.utf8(pc.utf8_lower(pc.fill_null(column, "")))
         starts, ends, first = common.words(data, offsets, SEPARATORS)
         hashes = hasher.spans(data, starts, ends)
         places: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -121,6 +123,8 @@ class Items:
         for (row, number), begins in places.items():
             item_id, item, budget = self.items[number]
             begin_row, end_row = int(first[row]), int(first[row + 1])
+            if len(item) < self.min_words and end_row - begin_row != len(item):
+                continue
             best, seen = None, begin_row
             for begin in sorted(begins):
                 low, high = max(begin - budget, begin_row), min(begin + len(item) + budget, end_row)
@@ -146,15 +150,15 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: st
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, first_word, end_word for each test item that a document holds."""
     spark = docs.sparkSession
     common.configure(spark)
-    low = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64())])
     out = None
-    for rows in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast([(i, t.lower()) for i, t in rows])
+    for rows in item_blocks(benchmark, block_words):
+        sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hasher, items = common.Hasher(), Items(sent.value, rate, min_words)
@@ -165,23 +169,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_wo
                     ids = block.column("doc_id").take(pa.array(rows_))
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(rest, list(schema)[1:], strict=True))], schema=schema)
 
-        part = low.mapInArrow(run, "doc_id long, item_id long, distance int, first_word long, end_word long")
+        part = own.mapInArrow(run, "doc_id long, item_id long, distance int, first_word long, end_word long")
         out = part if out is None else out.union(part)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """The documents that hold no test item, unchanged: each is dropped or kept where it lies."""
     spark = docs.sparkSession
     common.configure(spark)
-    for rows in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast([(i, t.lower()) for i, t in rows])
+    for rows in item_blocks(benchmark, block_words):
+        sent = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hasher, items = common.Hasher(), Items(sent.value, rate, min_words)
             for block in common.blocks(batches, text_col):
                 keep = np.ones(block.num_rows, bool)
-                keep[[f[0] for f in items.find(pc.utf8_lower(pc.fill_null(block.column(text_col), "")), hasher)]] = False
+                keep[[f[0] for f in items.find(block.column(text_col), hasher)]] = False
                 yield block.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
