@@ -49,7 +49,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
 
 
 def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label)."""
+    """Registered domain (last two labels) and suffix (last label), without a port."""
+    host = F.regexp_replace(host, ":[0-9]*$", "")
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
@@ -69,13 +70,13 @@ def _strength(level: DataFrame) -> float:
 
 
 def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, posterior (mean) and spread (standard deviation) of each distinct host of hosts.
+    """host, posterior (mean) and spread (standard deviation) of each distinct host of hosts or outcomes.
 
     outcomes: host, good (boolean; null counts for nothing).
     """
     own = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("int")).alias("k"))
     domain, suffix = _levels(F.col("host"))
-    known = common.cut(hosts.select("host").distinct().join(own, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")))
+    known = common.cut(hosts.select("host").union(own.select("host")).distinct().join(own, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")))
     domains = known.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -127,7 +128,7 @@ ORACLE_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 split AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 ruled AS (SELECT *, {_rules_sql(False)} AS rule, {_rules_sql(True)} AS by_rule FROM split),
-known AS (SELECT host, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:2]), '.') AS domain, list_reverse(string_split(host, '.'))[1] AS suffix, count(by_rule)::BIGINT AS n, coalesce(sum((by_rule = 'allow')::INT), 0)::BIGINT AS k FROM ruled GROUP BY host),
+known AS (SELECT host, array_to_string(list_reverse(list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'))[1:2]), '.') AS domain, list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'))[1] AS suffix, count(by_rule)::BIGINT AS n, coalesce(sum((by_rule = 'allow')::INT), 0)::BIGINT AS k FROM ruled GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM known GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM known GROUP BY ALL),
 priors AS (SELECT (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM known) AS mean, {_strength_sql("suffixes")} AS m0, {_strength_sql("domains")} AS m1, {_strength_sql("known")} AS m2),
