@@ -6,7 +6,7 @@ shard, no rows). Every block permutes its rows locally and deals them out by tho
 shard permutes what it received. The result is a uniform permutation whose shard sizes differ by one at most.
 
 Only DataFrame and SQL functions touch rows. All keys are hashes of the row and a seed, so a recomputed task
-deals the same. A block or slice holds about ``block_rows`` rows whatever the data, since rows are placed by a
+deals the same. A block or slice holds about ``block_rows`` rows whatever the data (more from MOST_BLOCKS blocks on), since rows are placed by a
 hash of id and text: neither a hot text nor a hot or null id piles up (only rows equal in both do).
 
 Defined results: a null text counts no bytes (size 1) and has the CRC of the empty text; null ids and repeated
@@ -15,7 +15,6 @@ rows are placed like any others; an empty table gives an empty table; further co
 
 from __future__ import annotations
 
-import json
 import math
 import random
 
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_ROWS = 50_000
-#: Blocks of a small table, so that it still spreads over a cluster.
-LEAST_BLOCKS = 64
+#: Blocks of a small table, so that it still spreads over a cluster; and of a large one, which bounds the matrix on the
+#: driver: blocks then hold more rows (1.5 million of 10^11), which a task sorts with spilling.
+LEAST_BLOCKS, MOST_BLOCKS = 64, 65_536
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -83,14 +83,16 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 17, block_ro
     )
     light = common.cut(light)
     rows = light.count()
-    blocks = max(LEAST_BLOCKS, math.ceil(rows / block_rows))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(rows / block_rows)))
     order = ["doc_id", "size", "text_crc32"]
     light = light.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks)).cast("int"))
     sizes = dict(light.groupBy("block").count().collect())
     sizes = [sizes.get(b, 0) for b in range(blocks)]
     drawn = matrix(sizes, [rows // shards + (s < rows % shards) for s in range(shards)], seed)
-    ends = [{"block": b, "ends": [sum(row[: s + 1]) for s in range(shards)]} for b, row in enumerate(drawn)]
-    deal = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<block:int,ends:array<bigint>>>")))
+    # one number per block and shard, as text: a row of the matrix is the running sum of what each shard gets
+    ends = ";".join(",".join(str(sum(row[: s + 1])) for s in range(shards)) for row in drawn)
+    deal = spark.range(1).select(F.posexplode(F.split(F.lit(ends), ";")).alias("block", "ends"))
+    deal = deal.select("block", F.split("ends", ",").cast("array<bigint>").alias("ends"))
     # local permutation, then the drawn number of rows to each shard
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit("local"), "key"), *order)
     dealt = light.withColumn("place", F.row_number().over(local)).join(deal, "block")
