@@ -1,17 +1,19 @@
 """Embedding near-duplicates by E8 lattice hashing.
 
-Unit vectors are projected to eight dimensions by several random matrices (one per table) and decoded to the
-nearest point of the E8 lattice, the densest packing there. A vector enters the cell of that point and of the
-next nearest ones (probes); pairs that share a cell of any table are compared by cosine in double precision.
-
-A cell's members are compared in blocks of bounded size, as matrix products inside tasks: a crowded cell
-is split over many tasks, and no pair is ever emitted. A task adds up its links per vector (each pair counts in the
-first cell that it shares, known from the codes both carry) and passes on one edge per vector to the smallest
-member it reaches, so output grows with the vectors.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components link
-with nothing (0 links, their own class, kept); equal vectors link; rows that repeat an id are vectors of their own that share
-a class by that id; null ids link with nothing; extra columns are ignored; an empty table gives an empty table.
+Equal vectors are one vector with a count from the start. Unit vectors are projected to eight dimensions by several
+random matrices (one per table) and decoded to the nearest point of the E8 lattice, the densest packing there. A vector
+enters the cell of that point and of the next nearest ones (probes); pairs that share a cell of any table are
+compared by cosine in double precision. Vectors of one length meet; those of different lengths have no cosine.
+
+Only numbers of cells and rows travel at first; vectors follow to the cells that hold two or more. A cell's members
+are compared in blocks of bounded size, as matrix products inside tasks: a crowded cell is split over many tasks, and
+no pair is ever emitted. A task adds up its links per vector (each pair counts in the first cell that it shares, known
+from the codes both carry) and passes on one edge per vector to the smallest member it reaches, so output grows with
+the vectors.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing (0 links,
+their own class, kept); equal vectors link; rows that repeat an id are vectors of their own, whose classes that id joins;
+null ids link with nothing; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,7 @@ from . import common
 TABLES, PROBES, SCALE, SEED = 7, 3, 2.0, 3
 #: Members of a block of a cell.
 BLOCK = 1024
-#: So many crowded cells are broadcast at most; more are joined by a shuffle.
-CROWDS = 200_000
+_CELL = ["dims", "tab", "cell"]
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -95,42 +97,45 @@ def units(flat: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return x, good
 
 
-def _light(dims: int, double: bool):
-    """Table and cell of every entry of a vector into a cell."""
+def _by_length(part: pa.RecordBatch, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each vector length, and their vectors."""
+    size = np.asarray(pc.list_value_length(part.column("vector")))
+    for dims in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dims)
+        yield rows, np.asarray(pc.list_flatten(part.column("vector").take(pa.array(rows))), dtype=kind).reshape(-1, dims)
+
+
+def _light(kind: type):
+    """The number of a vector and of a cell, for every entry of a vector into a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _cells(dims, double)(batches):
-            yield batch.select(["tab", "cell"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for rows, vectors in _by_length(part, kind):
+                    code = codes(units(vectors, vectors.shape[1])[0]).reshape(len(rows), -1)
+                    row = np.repeat(np.arange(len(rows)), TABLES * PROBES)
+                    table = np.tile(np.repeat(np.arange(TABLES), PROBES), len(rows))
+                    key = np.unique(np.column_stack([row, table, code.ravel()]), axis=0)
+                    rid = part.column("rid").take(pa.array(rows[key[:, 0]]))
+                    dims = np.full(len(key), vectors.shape[1], np.int32)
+                    yield pa.RecordBatch.from_arrays([rid, pa.array(dims), pa.array(key[:, 1].astype(np.int32)), pa.array(key[:, 2].astype(np.int32))], names=["rid", *_CELL])
 
     return run
 
 
-def _cells(dims: int, double: bool):
-    """A row for each cell that a vector enters, with the vector and all its codes."""
-    schema = pa.schema([("tab", pa.int32()), ("cell", pa.int32()), ("id", pa.int64()), ("rid", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary())])
-    kind = np.float64 if double else np.float32
+def _coded(kind: type):
+    """Every vector in binary form, with all its codes."""
+    schema = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                vectors = np.array(part.column("vector").to_pylist(), dtype=kind).reshape(-1, dims)
-                unit, good = units(vectors, dims)
-                good = np.flatnonzero(good)
-                if not len(good):
-                    continue
-                code = codes(unit[good])
-                packed = code.reshape(len(good), -1)
-                row = np.repeat(np.arange(len(good)), TABLES * PROBES)
-                table = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), PROBES), len(good))
-                cell = packed.ravel()
-                key = np.unique(np.column_stack([row, table, cell]), axis=0)
-                row = key[:, 0]
-                ids = part.column("id").take(pa.array(good[row]))
-                rid = part.column("rid").take(pa.array(good[row]))
-                vector = pa.array([v.tobytes() for v in vectors[good]], pa.binary()).take(pa.array(row))
-                carried = pa.array([c.tobytes() for c in packed], pa.binary()).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 1], pa.int32()), pa.array(key[:, 2], pa.int32()), ids, rid, vector, carried], schema=schema)
+                for rows, vectors in _by_length(part, kind):
+                    code = codes(units(vectors, vectors.shape[1])[0])
+                    own = [part.column(c).take(pa.array(rows)) for c in ("rid", "id", "copies")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary())], schema=schema)
 
     return run
 
@@ -158,19 +163,18 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _compare(dims: int, double: bool, least: float, schema: pa.Schema):
+def _compare(kind: type, least: float, schema: pa.Schema):
     """Links and edges of each run: the members of one block of a cell, or of two blocks against each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["tab", "cell", "b1", "b2"]):
+        for rows in _runs(batches, [*_CELL, "b1", "b2"]):
             n = rows.num_rows
             if n < 2:
                 continue
-            tab, cell, b1, b2 = (rows.column(k)[0].as_py() for k in ("tab", "cell", "b1", "b2"))
-            block = np.asarray(rows.column("block").combine_chunks())
-            ids = np.asarray(rows.column("id").combine_chunks())
+            dims, tab, cell, b1, b2 = (rows.column(k)[0].as_py() for k in (*_CELL, "b1", "b2"))
+            block, ids, copies = (np.asarray(rows.column(k).combine_chunks()) for k in ("block", "id", "copies"))
             rid = rows.column("rid").combine_chunks()
-            x, _ = units(np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64 if double else np.float32), dims)
+            x, _ = units(np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind), dims)
             code = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int32).reshape(n, TABLES, PROBES)
             linked = x @ x.T >= least
             np.fill_diagonal(linked, False)
@@ -189,7 +193,8 @@ def _compare(dims: int, double: bool, least: float, schema: pa.Schema):
                         for q in range(PROBES):
                             same = code[a, t, p] == code[b, t, q]
                             first &= ~same if t < tab else ~(same & (code[a, t, p] < cell))
-                counts += np.bincount(a[first], minlength=n) + np.bincount(b[first], minlength=n)
+                a, b = a[first], b[first]
+                counts += (np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)).astype(np.int64)
             # the smallest member that each can reach within the run
             label = ids.copy()
             while True:
@@ -208,24 +213,36 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     spark = vectors.sparkSession
     common.configure(spark)
     double = "float" not in vectors.schema[vector_col].dataType.simpleString()
-    rows = common.cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(vector_col).cast("array<double>" if double else "array<float>").alias("vector")))
-    usual = rows.where("vector is not null and size(vector) > 0").groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims = usual.dims if usual else 1
-    whole = rows.where(F.col("id").isNotNull() & (F.size("vector") == dims) & ~F.exists("vector", lambda v: v.isNull()))
-    crowds = whole.mapInArrow(_light(dims, double), "tab int, cell int").groupBy("tab", "cell").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
-    crowds = common.bounded(common.cut(crowds.select("tab", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))), CROWDS)
-    cells = whole.mapInArrow(_cells(dims, double), "tab int, cell int, id long, rid long, vector binary, codes binary")
-    dealt = cells.join(crowds, ["tab", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    kind = np.float64 if double else np.float32
+    vector = F.col(vector_col).cast("array<double>" if double else "array<float>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("rid"), vector.alias("vector"))
+    rows = common.cut(rows.select("*", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2")))
+    odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    whole = rows.where(F.col("id").isNotNull() & ~odd & F.exists("vector", lambda v: v != 0))
+    # equal vectors are one, by 128 bits of hash
+    classes = common.cut(whole.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "rid").alias("vector")))
+    light = common.cut(classes.select("rid", "vector").mapInArrow(_light(kind), "rid long, dims int, tab int, cell int"))
+    shared = light.groupBy(*_CELL).agg(F.count("*").alias("members")).where("members > 1").select(*_CELL, F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    coded = classes.select("rid", "id", "copies", "vector").mapInArrow(_coded(kind), "rid long, id long, copies long, vector binary, codes binary")
+    dealt = light.join(shared, _CELL).join(coded, "rid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     dealt = dealt.select("*", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2")).drop("with")
-    keys = ["tab", "cell", "b1", "b2"]
+    keys = [*_CELL, "b1", "b2"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "rid")
     schema = pa.schema([("rid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-    found = common.cut(dealt.mapInArrow(_compare(dims, double, least, schema), "rid long, a long, b long, n long"))
-    links = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    reached = common.components(found.select("a", "b"))
-    out = rows.select("rid", "id").join(links, "rid", "left").join(reached.withColumnRenamed("node", "id"), "id", "left")
+    found = common.cut(dealt.mapInArrow(_compare(kind, least, schema), "rid long, a long, b long, n long"))
+    edges = found.select("a", "b")
+    # an id of several vectors joins their classes
+    repeated = whole.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("id")
+    if not repeated.isEmpty():
+        own = whole.join(repeated, "id").select("k1", "k2", F.col("id").alias("a")).distinct()
+        edges = edges.union(own.join(classes.select("k1", "k2", F.col("id").alias("b")), ["k1", "k2"]).select("a", "b"))
+    reached = common.components(edges)
+    links = found.groupBy("rid").agg(F.sum("n").alias("n"))
+    told = classes.select("k1", "k2", "rid", "id", "copies").join(links, "rid", "left").join(reached.withColumnRenamed("node", "id"), "id", "left")
+    told = told.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(told, ["k1", "k2"], "left")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
