@@ -4,7 +4,8 @@ A document is the set of its distinct n-word shingles (64-bit hashes). Two sets
 among the first |s| - ceil(t |s|) + 1 tokens of either set, under any one order of all tokens; so candidates must
 do so under each of several orders. The first order puts frequent tokens last (a count sketch over all
 documents gives frequencies; any estimate gives a valid order), so shared passages seldom meet; the others are
-independent random orders, checked before a candidate's sets are intersected. A bucket's pair must also fit by size and
+independent random orders, whose prefixes (32 bits a token) are intersected for every candidate pair; only the sets of
+pairs that pass all orders travel to be verified. A bucket's pair must also fit by size and
 by position: of two sets that are similar, the first token they share leaves enough tokens after it in both.
 
 Groups of near copies are linked without listing their pairs: in each bucket of a shared prefix token, all members
@@ -136,58 +137,66 @@ def _prefixes(n: int, num: int, den: int, classes, schema: pa.Schema):
     return run
 
 
-def _sets(n: int, schema: pa.Schema):
+def _sets(n: int, num: int, den: int, schema: pa.Schema):
+    """Per row: its set, and its prefix under each random order but the first, in 32 bits a token."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.Hasher()
         for block in common.blocks(batches, "text"):
             value, count = shingles(block.column("text"), n, hasher)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(count), common.list_array(value.view(np.int64), count, pa.int64())], schema=schema)
+            row = common.per_row(count)
+            size = prefix_size(count, num, den)
+            place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            take = place < size[row]
+            prefixes = []
+            for seed in ORDERS[1:]:
+                key = common.mix(value, seed)
+                key = key[np.lexsort((key, row))][take]
+                prefixes.append(common.list_array((key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), size, pa.int32()))
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(count), common.list_array(value.view(np.int64), count, pa.int64()), *prefixes], schema=schema)
 
     return run
 
 
 def _verify(num: int, den: int, schema: pa.Schema):
-    """Keeps the pairs that share a prefix token under every further order and whose sets are similar enough."""
-
-    def prefix(values: np.ndarray, seed: int, size: int) -> np.ndarray:
-        keys = common.mix(values, seed)
-        return np.partition(keys, size - 1)[:size] if size < len(keys) else keys
+    """Keeps the pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (-1, None, [])
         for batch in batches:
-            a_ids, b_ids = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             sides = []
             for name in ("sa", "sb"):
                 column = batch.column(name)
-                ends = np.asarray(column.offsets)
-                sides.append((np.asarray(column.values).view(np.uint64), ends))
+                sides.append((np.asarray(column.values).view(np.uint64), np.asarray(column.offsets).tolist()))
+            (flat_a, ends_a), (flat_b, ends_b) = sides
             kept = []
-            for i, a in enumerate(a_ids):
-                left, right = (flat[ends[i] : ends[i + 1]] for flat, ends in sides)
-                size_l, size_r = (int(prefix_size(np.array([len(s)]), num, den)[0]) for s in (left, right))
-                # an id may have several sets
-                if held[0] != a or not np.array_equal(held[1], left):
-                    held = (a, left, [prefix(left, seed, size_l) for seed in ORDERS[1:]])
-                if any(not np.isin(prefix(right, seed, size_r), mine).any() for seed, mine in zip(ORDERS[1:], held[2], strict=True)):
-                    continue
+            for i in range(batch.num_rows):
+                left, right = flat_a[ends_a[i] : ends_a[i + 1]], flat_b[ends_b[i] : ends_b[i + 1]]
                 # both ascend and hold no value twice
                 at = np.searchsorted(left, right)
                 common_ = int((left[np.minimum(at, len(left) - 1)] == right).sum())
-                if den * common_ >= num * (len(left) + len(right) - common_):
-                    kept.append(i)
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in kept], pa.int64()), pa.array([b_ids[i] for i in kept], pa.int64())], schema=schema)
+                kept.append(den * common_ >= num * (len(left) + len(right) - common_))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(kept, pa.bool_()))
         common.release()
 
     return run
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that verify. The set of b travels to that of a, so a hot pivot is sent once."""
-    near = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verify(num, den, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+    """The pairs (a, b) that share a prefix token under every order and verify. What belongs to b travels to a, so a hot pivot is sent once."""
+
+    def beside(pairs: DataFrame, side: str, *columns: str) -> DataFrame:
+        return pairs.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}{side}") for c in columns)), side)
+
+    orders = [f"p{i}" for i in range(len(ORDERS) - 1)]
+    # an id may have several sets: a pair passes if any two of them do
+    passed = beside(beside(pairs, "b", *orders), "a", *orders)
+    for c in orders:
+        passed = passed.where(F.arrays_overlap(f"{c}a", f"{c}b"))
+    passed = common.cut(passed.select("a", "b").distinct())
+    both = beside(beside(passed, "b", "s"), "a", "s").select("a", "b", "sa", "sb")
+    found = common.cut(both.mapInArrow(_verify(num, den, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"))
+    common.drop(passed)
+    return found
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +214,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     first = common.cut(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     known = docs.where("id is not null")
     tokens = known.mapInArrow(_prefixes(n, num, den, classes, pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])), "token long, id long, n int, pos int")
-    tokens = common.cut(tokens)
+    every = tokens = common.cut(tokens)
     repeated = not profile.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
     # rows of copies go: all but the smallest id of each set; an id with other sets too stays, as it has the links of each
     copies = profile.where("n > 0").join(first.where("copies > 1").select("h1", "h2", F.col("id").alias("least")), ["h1", "h2"]).where("id <> least").select("id")
@@ -218,6 +227,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # buckets of two members or more; the pivot is the smallest id, with the size of its set
     buckets = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "pos")).alias("pivot")).where("members > 1")
     tokens = common.cut(tokens.join(buckets, "token").select("token", "id", "n", "pos", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("m"), F.col("pivot.pos").alias("at")))
+    common.drop(every)
     # sizes fit; and if this is the first token that two sets share, what follows it in either is enough
     fits = F.expr(f"{num} * greatest(n, m) <= {den} * least(n, m) AND {num + den}L * least(n - pos, m - at) >= {num}L * (n + m)")
 
@@ -226,13 +236,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         sets = known.join(common.bounded(common.cut(members), IDS), "id", "left_semi")
         if repeated:
             sets = sets.dropDuplicates(["id", "text"])
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-        sets = common.cut(sets.mapInArrow(_sets(n, schema), "id long, n long, shingles array<long>"))
-        return common.cut(_links(pairs, sets, num, den))
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64())), *((f"p{i}", pa.list_(pa.int32())) for i in range(len(ORDERS) - 1))])
+        sets = common.cut(sets.mapInArrow(_sets(n, num, den, schema), "id long, n long, s array<long>, p0 array<int>, p1 array<int>"))
+        found = _links(pairs, sets, num, den)
+        common.drop(sets)
+        return found
 
     # every member of a bucket against its pivot
     stars = common.cut(tokens.where("id <> pivot").where(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    reached = common.cut(common.components(verified(stars)))
+    reached = common.components(verified(stars))
     # what a bucket holds outside its main component, against all of it
     held = tokens.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
     shares = held.groupBy("token", "component").agg(F.count("*").alias("share"))
