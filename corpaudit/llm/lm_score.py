@@ -7,7 +7,8 @@ whatever the size of the corpus; other words are one unknown word, other bigrams
 The models are never held in one place. Documents are put into blocks by a hash. A block sends its distinct words, in
 ascending order and cut into shards of the hash range; a shard adds up the counts of all blocks and answers each
 block with the totals of the block's own words, in their order. Bigrams of the words then known take the same way.
-So a task holds one block or one shard, both bounded in size, of which a larger corpus has more.
+So a task holds one block or one shard, both bounded in size, of which a larger corpus has more; a block and a shard
+exchange a row only where they share keys, so there are never more rows than keys. Sums over all words are one broadcast row.
 The difference of the two losses per token, averaged, is the document's score: above zero it reads like the target.
 
 Defined results: null, empty and wordless texts have no tokens and null losses and score; repeated rows count and score
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Least count of words and bigrams in the models; there is no least share of all tokens.
-LEAST, WORD_SHARE, PAIR_SHARE = 2, 0, 0
+#: Least count of words and bigrams in the models, at any size of the corpus.
+LEAST = 2
 #: Weight of the bigram estimate, and what is added to each unigram count.
 LAMBDA, ALPHA = 0.6, 0.5
 #: So many target ids are broadcast at most; more are joined by a shuffle.
@@ -38,10 +39,11 @@ SCORED_BYTES = 8_000_000
 START, UNKNOWN = 1, 2
 SEPARATORS = common.byte_mask(common.SPACES)
 _PARTS = "shard long, block long, keys binary, counts binary"
-_TOTALS = "block long, shard long, kind long, totals binary, sums binary"
+_TOTALS = "block long, shard long, kind long, totals binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("score", pa.float64())])
 #: Words have counts as a word and as a predecessor, bigrams one, in background and target each.
 _WORDS, _PAIRS, KINDS = 0, 1, (4, 2)
+_SUMS = [f"s{i}" for i in range(1 + 2 * KINDS[_WORDS])]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -54,36 +56,45 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 def _parts(block: int, shards: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """A row for each shard: ascending keys as differences, and their counts (a row for each kind of count)."""
+    """A row for each shard that has keys: ascending keys as differences, and their counts (a row for each kind of count)."""
     cuts = np.searchsorted(keys, np.array([-(-(i << 64) // shards) for i in range(1, shards)], np.uint64))
     ends = [0, *cuts.tolist(), len(keys)]
-    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    columns = [list(range(shards)), [block] * shards, [_pack(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], [_pack(counts[:, x].astype(np.uint32)) for x in spans]]
+    own = [i for i in range(shards) if ends[i] < ends[i + 1]]
+    spans = [slice(ends[i], ends[i + 1]) for i in own]
+    columns = [own, [block] * len(own), [_pack(np.diff(keys[x], prepend=np.uint64(0))) for x in spans], [_pack(counts[:, x].astype(np.uint32)) for x in spans]]
     return pa.table(dict(zip(("shard", "block", "keys", "counts"), map(pa.array, columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary())), strict=True)))
 
 
+def _summed(table: pa.Table, kind: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of a shard: how many keys each block has, where each is among the distinct keys, and the totals of these."""
+    columns = table.to_pydict()
+    keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in columns["keys"]]
+    counts = [_unpack(x, np.uint32).reshape(KINDS[kind], -1) for x in columns["counts"]]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return [len(k) for k in keys], at, np.array([np.bincount(at, c) for c in np.concatenate(counts, axis=1)]).astype(np.int64)
+
+
 def _add(kind: int):
-    """Totals of a shard's keys, to each block those of its own keys; sums: how many are known, and the counts of all and of the others."""
+    """Totals of a shard's keys, to each block those of its own keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns = table.to_pydict()
-        keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in columns["keys"]]
-        counts = [_unpack(x, np.uint32).reshape(-1, len(k)) if len(k) else None for x, k in zip(columns["counts"], keys, strict=True)]
-        there = [c for c in counts if c is not None]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.array([np.bincount(at, c) for c in np.concatenate(there, axis=1)]).astype(np.int64) if there else np.zeros((KINDS[kind], 0), np.int64)
-        known, rest = totals[0] >= LEAST, (totals[0] > 0) & (totals[0] < LEAST)
-        sums = _pack(np.array([known.sum(), *totals.sum(1), *totals[:, rest].sum(1)], np.int64))
-        ends = np.cumsum([0, *map(len, keys)])
+        sizes, at, totals = _summed(table, kind)
+        ends = np.cumsum([0, *sizes])
         own = [_pack(totals[:, at[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        n = len(own)
-        del keys, counts, there, at, totals
+        del at, totals
         common.release()
-        return pa.table({"block": columns["block"], "shard": columns["shard"], "kind": [kind] * n, "totals": pa.array(own, pa.binary()), "sums": pa.array([sums] * n, pa.binary())})
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "kind": [kind] * len(own), "totals": pa.array(own, pa.binary())})
 
     return run
 
 
+def _sums(table: pa.Table) -> pa.Table:
+    """Of a shard's words: how many are known, and the counts of all and of the others."""
+    totals = _summed(table, _WORDS)[2]
+    known, rest = totals[0] >= LEAST, (totals[0] > 0) & (totals[0] < LEAST)
+    return pa.table([pa.array([int(x)]) for x in (known.sum(), *totals.sum(1), *totals[:, rest].sum(1))], names=_SUMS)
+
+
 def _keys(past: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One hash of each bigram."""
     return common.mix(common.mix(past, 5) + word, 6)
@@ -118,7 +129,8 @@ class Block:
 
     def learn(self, totals: pa.Table) -> None:
         """Take the totals of the words; unknown ones get those of all unknown words."""
-        self.totals, sums = _received(totals, _WORDS, len(self.words))
+        self.totals = _received(totals, _WORDS, len(self.words))
+        sums = next((np.array(r["sums"], np.int64) for r in totals.select(["kind", "sums"]).to_pylist() if r["kind"] == _WORDS), np.zeros(len(_SUMS), np.int64))
         known = (self.totals[0] >= LEAST) | (self.words == START)
         self.size, self.all = sums[0], sums[1:5]
         self.totals = np.where(known, self.totals, sums[5:, None])
@@ -129,7 +141,7 @@ class Block:
 
     def losses(self, totals: pa.Table) -> np.ndarray:
         """Summed losses of each document under background and target."""
-        pairs, _ = _received(totals, _PAIRS, len(self.pairs))
+        pairs = _received(totals, _PAIRS, len(self.pairs))
         kept, out = pairs[0] >= LEAST, []
         for k in (0, 1):
             single = (self.totals[k] + ALPHA) / (self.all[k] + ALPHA * (self.size + 1))
@@ -139,14 +151,13 @@ class Block:
         return np.column_stack(out)
 
 
-def _received(table: pa.Table, kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The totals of a block's keys in their order, and the sums over all shards."""
-    rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
-    sums = np.sum([_unpack(r["sums"], np.int64) for r in rows], axis=0)
-    totals = np.concatenate([_unpack(r["totals"], np.int64).reshape(KINDS[kind], -1) for r in rows], axis=1)
+def _received(table: pa.Table, kind: int, size: int) -> np.ndarray:
+    """The totals of a block's keys in their order."""
+    rows = sorted((r for r in table.select(["kind", "shard", "totals"]).to_pylist() if r["kind"] == kind), key=lambda r: r["shard"])
+    totals = np.concatenate([np.zeros((KINDS[kind], 0), np.int64), *(_unpack(r["totals"], np.int64).reshape(KINDS[kind], -1) for r in rows)], axis=1)
     if totals.shape[1] != size:
         raise ValueError("the documents changed between two reads")
-    return totals, sums
+    return totals
 
 
 class Model:
@@ -197,9 +208,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         out = pa.Table.from_arrays([docs.column("doc_id"), pa.array(block.tokens), *columns], schema=_SCORES)
         return out.filter(docs.column("scored"))
 
-    words = rows.groupBy("block").applyInArrow(word_parts, _PARTS).groupBy("shard").applyInArrow(_add(_WORDS), _TOTALS)
+    parts = rows.groupBy("block").applyInArrow(word_parts, _PARTS).groupBy("shard")
+    sums = parts.applyInArrow(_sums, ", ".join(f"{c} long" for c in _SUMS)).agg(F.array(*(F.coalesce(F.sum(c), F.lit(0)) for c in _SUMS)).alias("sums"))
+    words = parts.applyInArrow(_add(_WORDS), _TOTALS).crossJoin(F.broadcast(sums))
     pairs = rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(pair_parts, _PARTS).groupBy("shard").applyInArrow(_add(_PAIRS), _TOTALS)
-    known = words.union(pairs)
+    known = words.union(pairs.withColumn("sums", F.lit(None).cast("array<bigint>")))
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(scores, "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
 
 
