@@ -1,9 +1,12 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and word beginnings (so that inflected forms of a stem count as one), hashed. Terms whose
-presence tells toxic from other documents in a bounded balanced sample enter the model; besides a weight each has
+Terms are words and word beginnings (so that inflected forms of a stem count as one), hashed. Every term of a bounded
+balanced sample that LEAST documents hold enters the model; besides a weight each has
 a short vector, and the dot products of the vectors of all terms in a document give the pairwise interactions
 that additive weights miss (two mild words that are harmful together, or a harmful one in harmless company).
+Weights and vectors are fitted together, under a penalty that leaves a parameter at zero unless it helps the whole
+machine; no term is judged by itself, so one that tells something only beside another stays. Terms whose parameters
+are all zero go out of the fitted model, which therefore stays small.
 Scoring reads every whole text in place.
 
 Defined results: null, empty and wordless texts hold no term and get the model's base score; repeated rows score
@@ -24,13 +27,13 @@ from . import common, labelled
 
 #: Documents of each label that the fit sees at most.
 PER_CLASS = 3000
-#: Hash buckets of terms, model terms, factors.
-BITS, TERMS, FACTORS = 22, 2048, 4
+#: Hash buckets of terms (as a power of two), factors, documents of the sample that must hold a term.
+BITS, FACTORS, LEAST = 22, 4, 3
 #: Bytes of the word beginnings that are terms of their own.
 BEGINNINGS = (5, 6, 7, 8)
-EPOCHS, RATE, DECAY, SEED = 150, 0.03, 2e-3, 9
-#: Least z-score of a term's log odds.
-LEAST_Z = 4.0
+EPOCHS, RATE, SEED = 200, 0.05, 9
+#: Penalties of weights and of vector components, their first size, and the steps after which zero terms may go.
+WEIGHT_COST, VECTOR_COST, SPREAD, SETTLED = 3e-3, 1e-3, 0.05, 30
 _LETTERS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 SEPARATORS = ~common.byte_mask(_LETTERS)
 
@@ -55,103 +58,118 @@ def _present(row: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 class Factorization:
-    """w0 + sum w_i + sum of v_i v_j over the terms present; slot maps hash buckets to terms, or to -1."""
+    """w0 + sum w_i + sum of v_i v_j over the terms present: bias, weights and vectors by bucket, or a constant score."""
 
-    def __init__(self, buckets: np.ndarray, base: float = 0.0):
-        self.slot = np.full(1 << BITS, -1, np.int16)
-        self.slot[buckets] = np.arange(len(buckets))
-        self.base, self.w, self.v = base, np.zeros(len(buckets), np.float32), np.zeros((len(buckets), FACTORS), np.float32)
-        self.constant = None
+    def __init__(self, buckets: np.ndarray, constant: float | None = None):
+        self.buckets, self.base, self.constant = buckets, 0.0, constant
+        self.w, self.v = np.zeros(len(buckets), np.float32), np.zeros((FACTORS, len(buckets)), np.float32)
 
-    def present(self, column: pa.Array, hasher: common.Hasher) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, column: pa.Array, hasher: common.Hasher) -> np.ndarray:
+        n = len(column)
+        if self.constant is not None:
+            return np.full(n, self.constant)
         row, bucket = terms(column, hasher)
+        if not hasattr(self, "slot"):
+            self.slot = np.full(1 << BITS, -1, np.int32)
+            self.slot[self.buckets] = np.arange(len(self.buckets))
         slot = self.slot[bucket]
         known = slot >= 0
-        return _present(row[known], slot[known].astype(np.int64), len(self.w) or 1)
-
-    def score(self, column: pa.Array, hasher: common.Hasher) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(column), self.constant)
-        row, term = self.present(column, hasher)
-        n = len(column)
+        row, term = _present(row[known], slot[known].astype(np.int64), len(self.w) or 1)
         out = self.base + np.bincount(row, self.w[term], n)
-        for k in range(FACTORS):
-            v = self.v[term, k].astype(np.float64)
-            out += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
+        for v in self.v.astype(np.float64):
+            out += 0.5 * (np.bincount(row, v[term], n) ** 2 - np.bincount(row, v[term] ** 2, n))
         return 0.5 * (np.tanh(0.5 * out) + 1)
 
-    def fit(self, row: np.ndarray, term: np.ndarray, y: np.ndarray) -> Factorization:
-        n = len(y)
-        x = np.zeros((n, len(self.w)), np.float32)
-        x[row, term] = 1
-        rng = np.random.default_rng(SEED)
-        p = {"b": np.zeros(1, np.float32), "w": self.w, "v": rng.normal(0, 0.05, self.v.shape).astype(np.float32)}
-        each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-        m, s = {}, {}
-        for step in range(1, EPOCHS + 1):
-            xv = x @ p["v"]
-            out = p["b"] + x @ p["w"] + 0.5 * (xv * xv - x @ (p["v"] * p["v"])).sum(1)
-            d = each * (0.5 * (np.tanh(0.5 * out) + 1) - y.astype(np.float32))
-            grads = {"b": d.sum(keepdims=True), "w": x.T @ d + DECAY * p["w"] / 10, "v": x.T @ (d[:, None] * xv) - (x.T @ d)[:, None] * p["v"] + DECAY * p["v"]}
-            for k, g in grads.items():
-                m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                s[k] = 0.999 * s.get(k, 0) + 0.001 * g * g
-                p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-        self.base, self.w, self.v = float(p["b"][0]), p["w"], p["v"]
-        return self
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a term, for the rows of one task."""
-    hasher, total = common.Hasher(), {}
-    for block in common.blocks(batches, "text"):
-        label = np.asarray(block.column("label"))
-        row, term = _present(*terms(block.column("text"), hasher), 1 << BITS)
-        found, at = np.unique(term, return_inverse=True)
-        toxic = np.bincount(at, label[row], len(found)).astype(np.int64)
-        both = np.bincount(at, minlength=len(found))
-        for t, c0, c1 in zip(found.tolist(), (both - toxic).tolist(), toxic.tolist(), strict=True):
-            old = total.get(t, (0, 0))
-            total[t] = (old[0] + c0, old[1] + c1)
-    if total:
-        values = np.array(list(total.values()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(values[:, 0]), pa.array(values[:, 1])], names=["term", "clean", "toxic"])
+
+class _Matrix:
+    """Which of the documents hold which terms, summed along either side."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, rows: int, terms_: int):
+        order = np.argsort(term, kind="stable")
+        self.row, self.term, self.rows, self.by_term = row, term, rows, row[order]
+        self.begin = np.searchsorted(term[order], np.arange(terms_))
+        self.first, self.full = np.searchsorted(row, np.arange(rows)), np.bincount(row, minlength=rows) > 0
+
+    def per_row(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the terms of each document of a number for each term."""
+        out = np.zeros(self.rows, np.float32)
+        out[self.full] = np.add.reduceat(x[self.term], self.first[self.full])
+        return out
+
+    def per_term(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the documents of each term of a number for each document."""
+        return np.add.reduceat(x[self.by_term], self.begin)
+
+
+def learn(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> Factorization:
+    """The machine for documents 0 to len(y) - 1; row ascends, and (row, bucket) are the buckets present, each once."""
+    n = len(y)
+    buckets, term, held = np.unique(bucket, return_inverse=True, return_counts=True)
+    live = held >= LEAST
+    rng = np.random.default_rng(SEED)
+    # parameters by term: row 0 holds the weights, the others the components of the vectors
+    p = np.concatenate([np.zeros((1, len(buckets))), rng.normal(0, SPREAD, (FACTORS, len(buckets)))]).astype(np.float32)
+    m, s = np.zeros_like(p), np.zeros_like(p)
+    cost = np.array([WEIGHT_COST] + [VECTOR_COST] * FACTORS, np.float32)[:, None]
+    base, base_m, base_s, x = 0.0, 0.0, 0.0, None
+    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    for step in range(1, EPOCHS + 1):
+        if step >= SETTLED and step % 10 == 0:
+            live = p.any(0)
+        if x is None or live.sum() < 0.8 * len(live):
+            slot = np.cumsum(live) - 1
+            kept = live[term]
+            row, term = row[kept].astype(np.int32), slot[term[kept]].astype(np.int32)
+            buckets, p, m, s = buckets[live], p[:, live], m[:, live], s[:, live]
+            live = np.ones(len(buckets), bool)
+            if not len(buckets):
+                break
+            x = _Matrix(row, term, n, len(buckets))
+        sums = [x.per_row(v) for v in p[1:]]
+        out = base + x.per_row(p[0]) + 0.5 * sum(q * q - x.per_row(v * v) for q, v in zip(sums, p[1:], strict=True))
+        d = (each * (0.5 * (np.tanh(0.5 * out) + 1) - y)).astype(np.float32)
+        alone = x.per_term(d)
+        gradient = np.stack([alone, *(x.per_term(d * q) - alone * v for q, v in zip(sums, p[1:], strict=True))])
+        m = 0.9 * m + 0.1 * gradient
+        s = 0.999 * s + 0.001 * gradient * gradient
+        base_m, base_s = 0.9 * base_m + 0.1 * float(d.sum()), 0.999 * base_s + 0.001 * float(d.sum()) ** 2
+        base -= RATE * (base_m / (1 - 0.9**step)) / (np.sqrt(base_s / (1 - 0.999**step)) + 1e-8)
+        rate = RATE / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+        p = p - rate * (m / (1 - 0.9**step))
+        # the step of the penalty, in the measure of the step of the gradient
+        p = np.sign(p) * np.maximum(np.abs(p) - np.minimum(rate * cost, 1e3), 0)
+    used = p.any(0)
+    model = Factorization(buckets[used])
+    model.base, model.w, model.v = float(base), p[0, used], p[1:, used]
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, fold: int = 0) -> Factorization:
     common.configure(docs.sparkSession)
     sample = labelled.training_rows(docs, labels, "toxic", per_class, labelled.held_out(F.col("doc_id"), modulus, fold))
-    sizes = dict(sample.groupBy("label").count().collect())
-    if len(sizes) < 2:
-        model = Factorization(np.zeros(0, np.int64))
-        model.constant = float(next(iter(sizes), 0))
-        return model
-    n0, n1 = sizes[0], sizes[1]
-    counted = sample.mapInArrow(_counts, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
-    z = (odds("toxic", n1) - odds("clean", n0)) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    telling = counted.select("term", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "term").limit(TERMS)
-    model = Factorization(np.array(sorted(r.term for r in telling.collect()), np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.Hasher()
         for block in common.blocks(batches, "text"):
-            row, term = model.present(block.column("text"), hasher)
-            lists = common.list_array(term, np.bincount(row, minlength=block.num_rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("label"), lists], names=["label", "terms"])
+            row, term = _present(*terms(block.column("text"), hasher), 1 << BITS)
+            ends = np.searchsorted(row, np.arange(block.num_rows + 1)).tolist()
+            own = [term[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(own, pa.binary())], names=["label", "terms"])
 
-    rows = sorted((r.label, list(r.terms)) for r in sample.mapInArrow(encode, "label int, terms array<long>").collect())
-    counts = np.array([len(t) for _, t in rows], np.int64)
-    return model.fit(common.per_row(counts), np.array([t for _, own in rows for t in own], np.int64), np.array([label for label, _ in rows], np.float64))
+    rows = sorted((r.label, bytes(r.terms)) for r in sample.mapInArrow(encode, "label int, terms binary").collect())
+    found = {label for label, _ in rows}
+    if len(found) < 2:
+        return Factorization(np.zeros(0, np.int64), float(next(iter(found), 0)))
+    bucket = np.frombuffer(b"".join(own for _, own in rows), "<u4").astype(np.int32)
+    return learn(common.per_row(np.array([len(own) // 4 for _, own in rows])), bucket, np.array([label for label, _ in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Factorization) -> DataFrame:
     """doc_id, score of every row."""
     common.configure(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, model = common.Hasher(), sent.value
+        hasher = common.Hasher()
         for block in common.blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(model.score(block.column("text"), hasher), pa.float64())], names=["doc_id", "score"])
 
@@ -161,10 +179,9 @@ def score(docs: DataFrame, model: Factorization) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Factorization, most: float) -> DataFrame:
     """The documents that score under most, unchanged: each is dropped or kept where it lies."""
     common.configure(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, model = common.Hasher(), sent.value
+        hasher = common.Hasher()
         for block in common.blocks(batches, "text"):
             yield block.filter(pa.array(model.score(block.column("text"), hasher) < most))
 
