@@ -1,23 +1,33 @@
 """HTML extraction by wrapper induction.
 
-Every page becomes a tree in which siblings of one label (tag, classes, id) are one repeating node. Each task aligns
-the trees of a host's pages with the host's template by simple tree matching (Yang, 1991), and counts per template
-node how many pages have it and whether its text varies; Spark adds the counts of all tasks up per host. Nodes
-whose text never varies are template; varying slots are content. Within a page's main element (article, main, or
-else the element that holds most of the varying text) everything is content but what its tag, class or role marks as a
-menu, header, footer, sidebar, notice, advert, form or comment section, and unmarked boxes that are constant over
-the host. All pages of a host take part, however many: a task holds one small template per host, never pages.
+Every page becomes a tree in which siblings of one label (tag, classes, id) are one repeating node. The commonest tree
+of a host is its template. Each page is aligned with the template of its host by simple tree matching (Yang, 1991):
+the largest order-preserving match, so a node that stands elsewhere than in the template is a slot of its own. Over
+all pages of the host, Spark counts per slot on how many pages it occurs and whether the text under it varies.
+A slot whose text never varies is template and goes; varying slots are content. Text is taken by aligning each
+page again and asking its slots.
+
+Varying boxes that are no main text (reader comments, adverts, menus) cannot be told by variation; they are ruled out by
+element (nav, aside, footer, ...) or by a class, id or role all of whose words speak of such boxes ("ad-slot" does,
+"social-history" does not). A form or such a word rules nothing out that holds an article or main element. A page that has
+article or main elements is read inside them only; there a constant slot goes only if it is a box of its own, not
+a paragraph, heading, list, table or inline element.
+
+Slots are known by chained 64-bit hashes of labels, so depth costs nothing. A slot is template if it stands on three
+distinct pages at least and on a fiftieth of the host's pages, which bounds the decisions sent back per host,
+whatever its classes and ids are. On hosts of fewer distinct pages, marks alone decide.
 
 Defined results: null or empty html, and pages without content, give an empty text; pages without a host share the
-empty host; unclosed tags end where HTML ends them or with the page; repeated pages give repeated rows; extra columns
-are ignored; an empty table gives an empty table. Nothing is cut.
+empty host; unclosed tags end where HTML ends them or with the page; repeated pages give repeated rows and count as one
+distinct page; extra columns are ignored; an empty table gives an empty table. Nothing is cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
-import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,53 +47,73 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li option summary tbody td tfoot th thead tr".split())
 #: Start tags that end an open element of these kinds, and the elements that such an end does not leave.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"})}
-#: Elements, and words of classes, ids and roles, that are never main text.
+#: Elements that are never main text; of these, a form may hold a page.
 NOT_TEXT = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu title audio video".split())
+#: Words of classes, ids and roles that speak of such boxes, and words that say nothing beside them.
 NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
-    "subscribe subscription signup sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments reply replies respond disqus "
+    "subscribe subscription signup sidebar aside menu menubar nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments reply replies respond disqus "
     "share sharing social related recommended widget toolbar pagination pager search contentinfo complementary".split()
 )
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption b i em strong a span code".split())
+LAYOUT_WORDS = frozenset(
+    "article articles bar block blog bottom box btn button buttons col column container entry field fixed form global group holder icon icons in inner item items js left link links list "
+    "mobile my outer page panel post posts primary region right row secondary section site slot small sticky text the title to top unit wrap wrapper area".split()
+)
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption b i em strong a span code br hr img".split())
 MAIN = frozenset({"article", "main"})
-#: Pages of a host from which on a constant box counts as template.
-PAGES = 3
-#: Hosts whose templates are broadcast at most; more are joined by a shuffle.
+#: Distinct pages of a host that must hold a slot for it to be template, and the part of its pages.
+PAGES, PART = 3, 0.02
+#: Blocks of text that make a body of a marked box, if nothing else on the page has text.
+BODY_BLOCKS = 3
+#: Hosts whose templates are broadcast at most, within the byte bound of ``bounded``; more are joined by a shuffle.
 HOSTS = 50_000
+#: What a task remembers (counted slots, aligned nodes) before it passes on or forgets it; results do not depend on it.
+HELD = 200_000
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^>]*>", re.S)
 _NAMED = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
+_DIGITS, _PARTS, _HUMP = re.compile(r"\d+"), re.compile(r"[^a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_FREE, _SOFT, _HARD = 0, 1, 2
 
 
 class Node:
-    """A collapsed element: label, children by label in order, where it lies, whether its marks rule it out."""
+    """A collapsed element: label, children by label in order, its own mark, whether it lies in a main element."""
+
+    __slots__ = ("label", "tag", "parent", "children", "mark", "inner", "main", "marked", "key")
+
+    def __init__(self, label: str, tag: str, parent: Node | None, mark: int, main: bool):
+        self.label, self.tag, self.parent, self.children, self.mark = label, tag, parent, {}, mark
+        self.inner = main or (parent is not None and parent.inner)
+        self.main, self.marked, self.key = main, False, 0
 
-    __slots__ = ("label", "path", "tag", "children", "marked")
 
-    def __init__(self, label: str, tag: str, parent: Node | None, marked: bool):
-        self.label, self.tag, self.children = label, tag, {}
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.marked = marked
+def _speaks_of_other_boxes(name: str, inner: bool) -> bool:
+    words = [w for w in _PARTS.split(_HUMP.sub("-", name).lower()) if w]
+    said = [w for w in words if w in NOT_TEXT_WORDS and not (inner and w == "header")]
+    return bool(said) and all(w in LAYOUT_WORDS or w in NOT_TEXT_WORDS for w in words)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """tag.class#id with numbers made alike, and whether its words rule it out."""
+def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
+    """tag.class#id with numbers made alike, its mark, and whether it is a main element."""
+    mark = _HARD if tag in NOT_TEXT else _FREE
+    mark = _SOFT if tag == "form" else _HARD if tag == "header" and not inner else mark
+    label, main = tag, tag in MAIN
     if not attributes or tag in ("html", "body"):
-        return tag, tag in NOT_TEXT
-    label, bad = tag, tag in NOT_TEXT
+        return label, mark, main
     for name, value in _NAMED.findall(attributes):
-        value = _DIGITS.sub("0", value.strip("\"'").lower())
-        label += {"class": ".", "id": "#", "role": "@"}[name.lower()] + ".".join(sorted(value.split()))
-        if tag not in MAIN:
-            bad = bad or not NOT_TEXT_WORDS.isdisjoint(_PARTS.split(value))
-    return label, bad
+        value = value.strip("\"'")
+        name = name.lower()
+        main = main or (name == "role" and value.strip().lower() in MAIN)
+        label += {"class": ".", "id": "#", "role": "@"}[name] + ".".join(sorted(_DIGITS.sub("0", value.lower()).split()))
+        if mark == _FREE and not main and any(_speaks_of_other_boxes(own, inner) for own in value.split()):
+            mark = _SOFT
+    return label, mark, main
 
 
-def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
+def parse(source: str, texts: bool = True) -> tuple[Node, list[tuple[Node, str]]]:
     """The collapsed tree, and the blocks of text in page order with the node each begins in."""
-    root = Node("", "", None, False)
-    stack, blocks, chunks, owner, labels = [root], [], [], None, {}
+    root = Node("", "", None, _FREE, False)
+    stack, blocks, chunks, owner, labels, open_ = [root], [], [], None, {}, {}
     lower = None
 
     def flush() -> None:
@@ -96,9 +126,17 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     def text(data: str) -> None:
         nonlocal owner
-        if owner is None and not data.isspace():
-            owner = stack[-1]
-        chunks.append(data)
+        if texts:
+            if owner is None and not data.isspace():
+                owner = stack[-1]
+            chunks.append(data)
+
+    def leave(depth: int) -> None:
+        for node in stack[depth:]:
+            open_[node.tag] -= 1
+            if node.mark:
+                flush()
+        del stack[depth:]
 
     at, end = 0, len(source)
     while at < end:
@@ -118,48 +156,47 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
         if not tag:
             continue
         tag = tag.lower()
-        if found[1] or found[4]:
-            if tag in BLOCK:
-                flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    if any(node.marked != stack[depth - 1].marked for node in stack[depth:]):
-                        flush()
-                    del stack[depth:]
-                    break
-            continue
-        attributes = found[3] or found[6] or ""
-        key = (tag, attributes)
-        if key not in labels:
-            labels[key] = _label(tag, attributes)
-        label, bad = labels[key]
         if tag in BLOCK:
             flush()
+        if found[1] or found[4]:
+            if open_.get(tag):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == tag:
+                        leave(depth)
+                        break
+                    # the end of an inline element does not end a block
+                    if tag not in BLOCK and stack[depth].tag in BLOCK:
+                        break
+            continue
         if tag == "br":
             chunks.append(" ")
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in BLOCK:
-                    break
+            if open_.get("p"):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == "p":
+                        leave(depth)
+                        break
+                    if stack[depth].tag in BLOCK:
+                        break
         elif tag in ENDS:
             kinds, walls = ENDS[tag]
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in walls:
                     break
                 if stack[depth].tag in kinds:
-                    del stack[depth:]
+                    leave(depth)
                     if tag != "tr" or stack[-1].tag not in kinds:
                         break
         parent = stack[-1]
+        attributes = found[3] or found[6] or ""
+        key = (tag, attributes, parent.inner)
+        if key not in labels:
+            labels[key] = _label(*key)
+        label, mark, main = labels[key]
         node = parent.children.get(label)
         if node is None:
-            inner = any(n.tag in MAIN for n in stack)
-            bad = bad or (tag == "header" and not inner)
-            node = parent.children[label] = Node(label, tag, parent if parent.tag or parent.label else None, parent.marked or bad)
-        if node.marked != parent.marked:
+            node = parent.children[label] = Node(label, tag, parent, mark, main)
+        if mark:
             flush()
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -170,182 +207,279 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
             at = end if stop < 0 else (lower.find(">", stop) + 1 or end)
             continue
         stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
     return root, blocks
 
 
-# ------------------------------------------------------------------ induction
-
-
-def simple_tree_match(a: dict, b: dict) -> tuple[int, list[tuple[str, str]]]:
-    """Size of the largest order-preserving match of two forests (label -> forest), and the matched roots."""
-    left, right = list(a), list(b)
-    if left == right:
-        return sum(1 + simple_tree_match(a[k], b[k])[0] for k in left), [(k, k) for k in left]
-    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    gain = {}
-    for i, x in enumerate(left, 1):
-        for j, y in enumerate(right, 1):
-            same = x.split("~")[0] == y
-            gain[i, j] = 1 + simple_tree_match(a[x], b[y])[0] if same else 0
-            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + gain[i, j] if same else 0)
-    i, j, pairs = len(left), len(right), []
-    while i and j:
-        if gain[i, j] and table[i][j] == table[i - 1][j - 1] + gain[i, j]:
-            pairs.append((left[i - 1], right[j - 1]))
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return table[-1][-1], pairs[::-1]
-
-
-def forest(node: Node) -> dict:
-    return {label: forest(child) for label, child in node.children.items()}
+def preorder(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo.extend(reversed(node.children.values()))
+    return out
 
 
-def align(template: dict, page: dict, at: str = "", of: str = "", slots: dict | None = None) -> dict[str, str]:
-    """Template path of every path of the page; nodes that match none are added to the template."""
-    slots = {} if slots is None else slots
-    pairs = {y: x for x, y in simple_tree_match(template, page)[1]}
-    for label, children in page.items():
-        key = pairs.get(label)
-        if key is None:
-            key = label
-            while key in template:
-                key += "~"
-            template[key] = {}
-        own, path = (f"{of}/{label}" if of else label), (f"{at}/{key}" if at else key)
-        slots[own] = path
-        align(template[key], children, path, own, slots)
-    return slots
+def shape(nodes: list[Node]) -> str:
+    """The tree in preorder: the number of children and the label of each node."""
+    return "\n".join(f"{len(n.children)} {n.label}" for n in nodes)
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and template path: pages, least and greatest hash of a page's text there, characters, marked."""
-    templates: dict[str, dict] = {}
-    slots_of: dict[tuple[str, str], dict[str, str]] = {}
-    stats: dict[tuple[str, str], list] = {}
+def tree_of(shape_: str) -> Node:
+    """The tree that a shape stands for."""
+    root, open_ = None, []
+    for line in shape_.split("\n"):
+        children, _, label = line.partition(" ")
+        node = Node(label, "", open_[-1][0] if open_ else None, _FREE, False)
+        if open_:
+            open_[-1][0].children[label] = node
+            open_[-1][1] -= 1
+        else:
+            root = node
+        open_.append([node, int(children)])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return root
+
+
+# ------------------------------------------------------------------- alignment
+
+
+def heaviest_ascent(places: list[int], gains: list[int]) -> list[int]:
+    """Positions of the ascending subsequence of places with the largest sum of gains."""
+    if all(a < b for a, b in zip(places, places[1:], strict=False)):
+        return list(range(len(places)))
+    size = max(places) + 2
+    # a binary indexed tree of (sum, last position) for ascents that end up to a place
+    best: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+    before = []
+    for i, (place, gain) in enumerate(zip(places, gains, strict=True)):
+        top, k = (0, -1), place
+        while k > 0:
+            top = max(top, best[k])
+            k -= k & -k
+        before.append(top[1])
+        made, k = (top[0] + gain, i), place + 1
+        while k <= size:
+            best[k] = max(best[k], made)
+            k += k & -k
+    top, k = (0, -1), size
+    while k > 0:
+        top = max(top, best[k])
+        k -= k & -k
+    out, i = [], top[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def simple_tree_match(template: Node, page: Node) -> list[tuple[Node, Node]]:
+    """The largest order-preserving match of two trees whose roots match: pairs of nodes, parents first.
+
+    Siblings have distinct labels, so only nodes of one label path can match, and the match of two nodes is the
+    heaviest ascent of their common children.
+    """
+    pairs, below = [(template, page)], []
+    for t, p in pairs:
+        places = {label: i for i, label in enumerate(t.children)} if p.children else {}
+        common_ = [label for label in p.children if label in places]
+        below.append((len(pairs), [places[label] for label in common_]))
+        pairs.extend((t.children[label], p.children[label]) for label in common_)
+    gain, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for i in range(len(pairs) - 1, -1, -1):
+        first, places = below[i]
+        if places:
+            chosen[i] = [first + k for k in heaviest_ascent(places, gain[first : first + len(places)])]
+            gain[i] += sum(gain[k] for k in chosen[i])
+    out, at = [0], 0
+    while at < len(out):
+        out.extend(chosen[out[at]])
+        at += 1
+    return [pairs[i] for i in out]
+
+
+def _chain(above: int, label: str, matched: bool) -> int:
+    data = above.to_bytes(8, "little", signed=True) + (b"=" if matched else b"~") + label.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+class Aligner:
+    """Slots of pages under the templates of their hosts; pages of one host and shape share an alignment."""
+
+    def __init__(self):
+        self.trees: dict[str, Node] = {}
+        self.known: dict[tuple[str, str], list[int]] = {}
+        self.held = 0
+
+    def __call__(self, nodes: list[Node], template: str | None) -> None:
+        """Sets the slot key of every node (preorder) of a page; the root has key 0."""
+        form = shape(nodes)
+        keys = self.known.get((template or "", form))
+        if keys is None:
+            if self.held > HELD:
+                self.trees, self.known, self.held = {}, {}, 0
+            if template and template not in self.trees:
+                self.trees[template] = tree_of(template)
+                self.held += template.count("\n")
+            pairs = simple_tree_match(self.trees[template], nodes[0]) if template else []
+            matched = {id(p) for _, p in pairs}
+            for node in nodes[1:]:
+                node.key = _chain(node.parent.key, node.label, id(node) in matched)
+            keys = [node.key for node in nodes]
+            self.known[template or "", form] = keys
+            self.held += len(keys)
+        for node, key in zip(nodes, keys, strict=True):
+            node.key = key
+
+
+def _unpacked(packed: bytes | None) -> str | None:
+    return None if packed is None else zlib.decompress(packed).decode("utf-8", "surrogatepass")
+
+
+# ------------------------------------------------------------------- induction
+
+
+def _code(data: str) -> int:
+    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shapes of a host's pages, and the pages of each, for the rows of one task."""
+    seen: dict[tuple[str, int], list] = {}
+    held = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = [(h, p, *v) for (h, p), v in stats.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "path", "pages", "low", "high", "chars", "marked"])
+        if seen:
+            rows = [(h, c, *v) for (h, c), v in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["host", "code", "pages", "shape"])
 
     for batch in batches:
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            tree, blocks = parse(source or "")
-            shape = forest(tree)
-            key = (host, repr(shape))
-            if key not in slots_of:
-                slots_of[key] = align(templates.setdefault(host, {}), shape)
-            slots = slots_of[key]
-            own: dict[str, str] = {}
-            for node, text in blocks:
-                own[node.path] = own.get(node.path, "") + "\n" + text
-            todo = list(tree.children.values())
-            while todo:
-                node = todo.pop()
-                todo.extend(node.children.values())
-                text = own.get(node.path, "")
-                code = hash_text(text)
-                known = stats.setdefault((host, slots[node.path]), [0, code, code, 0, False])
-                known[0] += 1
-                known[1], known[2] = min(known[1], code), max(known[2], code)
-                known[3] += len(text)
-                known[4] = known[4] or node.marked
-        if len(stats) > 100_000 or len(slots_of) > 20_000:
-            yield from out()
-            templates, slots_of, stats = {}, {}, {}
+            form = shape(preorder(parse(source or "", texts=False)[0]))
+            key = (host, _code(form))
+            if key not in seen:
+                packed = zlib.compress(form.encode("utf-8", "surrogatepass"), 6)
+                seen[key] = [0, packed]
+                held += len(packed) + 100
+            seen[key][0] += 1
+            if held > 20 * HELD:
+                yield from out()
+                seen, held = {}, 0
     yield from out()
 
 
-def hash_text(text: str) -> int:
-    import zlib
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and slot that has text under it: pages, bits of distinct pages, least and greatest hash of the text."""
+    aligner, stats = Aligner(), {}
+    names = ["host", "slot", "pages", "bits", "low", "high"]
 
-    data = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 31 | zlib.adler32(data) & 0x7FFFFFFF
+    def out() -> Iterator[pa.RecordBatch]:
+        if stats:
+            rows = [(h, k, *v) for (h, k), v in stats.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.string()] + [pa.int64()] * 5, strict=True)], names=names)
+
+    for batch in batches:
+        templates = [_unpacked(t) for t in batch.column("template").to_pylist()]
+        for host, source, template in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), templates, strict=True):
+            if template is None:
+                continue
+            root, blocks = parse(source or "")
+            nodes = preorder(root)
+            aligner(nodes, template)
+            under: dict[int, int] = {}
+            for node, text in blocks:
+                under[id(node)] = (under.get(id(node), 1) * 0x9E3779B97F4A7C15 + _code(text)) & (2**64 - 1)
+            # children come after their parents: sums from the end
+            for node in reversed(nodes):
+                own = under.get(id(node))
+                if own is not None and node.parent is not None:
+                    above = id(node.parent)
+                    under[above] = (under.get(above, 1) * 0xD1B54A32D192ED03 + (own ^ node.key & (2**64 - 1))) & (2**64 - 1)
+            bit = 1 << (_code(source or "") & 63)
+            bit -= (bit >> 63) << 64
+            for node in nodes:
+                own = under.get(id(node))
+                if own is None and node.parent is not None:
+                    continue
+                own = (own or 0) - (1 << 63)
+                known = stats.get((host, node.key))
+                if known is None:
+                    stats[host, node.key] = [1, bit, own, own]
+                else:
+                    known[0] += 1
+                    known[1] |= bit
+                    known[2], known[3] = min(known[2], own), max(known[3], own)
+        if len(stats) > HELD:
+            yield from out()
+            stats = {}
+    yield from out()
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, template (JSON list of path, pages, varying, characters, marked) from all pages (host, html)."""
-    found = pages.mapInArrow(_induce, "host string, path string, pages long, low long, high long, chars long, marked boolean")
-    found = found.groupBy("host", "path").agg(F.sum("pages").alias("pages"), (F.min("low") != F.max("high")).alias("varying"), F.sum("chars").alias("chars"), F.max("marked").alias("marked"))
-    return found.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "pages", "varying", "chars", "marked")))).alias("template"))
-
-
-class Wrapper:
-    """Which paths of a host hold main text."""
-
-    def __init__(self, rows: list[dict]):
-        by_path = {r["path"]: r for r in rows}
-        ancestors = lambda path: [path[: m.start()] for m in re.finditer("/", path)] + [path]
-        weight: dict[str, int] = {}
-        varies: set[str] = set()
-        for path, r in by_path.items():
-            for above in ancestors(path):
-                if not r["marked"]:
-                    weight[above] = weight.get(above, 0) + r["chars"] * (2 if r["varying"] else 1)
-                if r["varying"]:
-                    varies.add(above)
-        tag = lambda path: re.split(r"[.#@~]", path.rsplit("/", 1)[-1])[0]
-        self.main = {p for p, r in by_path.items() if not r["marked"] and (tag(p) in MAIN or p.rsplit("/", 1)[-1].endswith("@main"))}
-        pages = max((r["pages"] for r in rows), default=0)
-        self.constant = {p for p, r in by_path.items() if pages >= PAGES and r["pages"] >= PAGES and p not in varies and tag(p) not in PLAIN and tag(p) not in MAIN and varies}
-        if not self.main:
-            best = max((p for p in by_path if p in weight), key=lambda p: (tag(p) == "body", weight[p], -len(p)), default="")
-            while True:
-                below = [p for p in by_path if p.startswith(best + "/") and "/" not in p[len(best) + 1 :] and tag(p) not in PLAIN and p in weight]
-                heavy = [p for p in below if weight[p] > 0.7 * weight.get(best, 0)]
-                if not heavy:
-                    break
-                best = heavy[0]
-            self.main = {best} if best else set()
-
-    def takes(self, node_path: str, marked: bool, fallback: bool) -> bool:
-        if marked:
-            return False
-        path, inside = "", fallback
-        for part in node_path.split("/"):
-            path = f"{path}/{part}" if path else part
-            inside = inside or path in self.main
-            if path in self.constant and path not in self.main:
-                return False
-        return inside
-
-
-def page_text(source: str, wrapper: Wrapper) -> str:
-    tree, blocks = parse(source or "")
-    known: dict[str, bool] = {}
-    # a page that has none of its host's main elements is read whole but for what is ruled out
-    paths, todo = set(), list(tree.children.values())
-    while todo:
-        node = todo.pop()
-        paths.add(node.path)
-        todo.extend(node.children.values())
-    fallback = paths.isdisjoint(wrapper.main)
-    out = []
-    for node, text in blocks:
-        if node.path not in known:
-            known[node.path] = wrapper.takes(node.path, node.marked, fallback)
-        if known[node.path]:
-            out.append(text)
-    return "\n".join(out)
+    """host, template (packed shape), constant (slot keys, joined by commas) of every host of PAGES pages or more."""
+    shapes = pages.mapInArrow(_shapes, "host string, code long, pages long, shape binary")
+    shapes = shapes.groupBy("host", "code").agg(F.sum("pages").alias("pages"), F.min("shape").alias("shape"))
+    templates = shapes.groupBy("host").agg(F.sum("pages").alias("all"), F.max_by("shape", F.struct("pages", "code")).alias("template")).where(F.col("all") >= PAGES)
+    templates = common.cut(templates.select("host", "template"))
+    slots = pages.join(common.bounded(templates, HOSTS), "host").mapInArrow(_slots, "host string, slot long, pages long, bits long, low long, high long")
+    slots = common.cut(slots.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high")))
+    hosts = slots.where("slot = 0 and low <> high").select("host", F.col("pages").alias("all"))
+    constant = slots.where((F.col("slot") != 0) & (F.col("low") == F.col("high")) & (F.bit_count("bits") >= PAGES)).join(hosts, "host").where(F.col("pages") >= PART * F.col("all"))
+    constant = constant.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("slot")).cast("array<string>"), ",").alias("constant"))
+    return templates.join(constant, "host", "left")
+
+
+# ------------------------------------------------------------------ extraction
+
+
+def page_text(source: str, aligner: Aligner, template: str | None, constant: frozenset[int]) -> str:
+    root, blocks = parse(source or "")
+    if not blocks:
+        return ""
+    nodes = preorder(root)
+    if constant:
+        aligner(nodes, template)
+    holds = set()
+    for node in reversed(nodes):
+        if (node.main or id(node) in holds) and node.mark != _HARD and node.parent is not None:
+            holds.add(id(node.parent))
+
+    def mark(void: set[int]) -> None:
+        for node in nodes[1:]:
+            soft = node.mark == _SOFT and id(node) not in void
+            node.marked = node.parent.marked or node.mark == _HARD or soft
+
+    mark(holds)
+    if all(node.marked for node, _ in blocks):
+        # marked boxes that hold a body of text, where there is no other
+        held: dict[int, int] = {}
+        for node, _ in blocks:
+            while node.parent is not None:
+                held[id(node)] = held.get(id(node), 0) + 1
+                node = node.parent
+        mark(holds | {i for i, n in held.items() if n >= max(BODY_BLOCKS, 0.8 * len(blocks))})
+    if constant:
+        for node in nodes[1:]:
+            plain = node.inner and (node.tag in PLAIN or node.main)
+            node.marked = node.marked or node.parent.marked or (node.key in constant and not plain and id(node) not in holds)
+    within = any(node.main and not node.marked for node in nodes)
+    return "\n".join(text for node, text in blocks if not node.marked and (node.inner or not within))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wrappers: dict[str, Wrapper] = {}
+    aligner, constants = Aligner(), {}
     for batch in batches:
-        texts = []
-        for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-            template = template or "[]"
-            if template not in wrappers:
-                if len(wrappers) > 2000:
-                    wrappers.clear()
-                wrappers[template] = Wrapper(json.loads(template))
-            texts.append(page_text(source, wrappers[template]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        out = []
+        for source, template, constant in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), batch.column("constant").to_pylist(), strict=True):
+            constant = constant or ""
+            if constant not in constants:
+                if len(constants) > 2000:
+                    constants.clear()
+                constants[constant] = frozenset(map(int, filter(None, constant.split(","))))
+            out.append(page_text(source, aligner, _unpacked(template) if constant else None, constants[constant]))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -353,8 +487,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     common.configure(pages.sparkSession)
     host, _ = host_and_path(F.col(url_col))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    templates = common.bounded(common.cut(induce(own.select("host", "html"))), HOSTS)
-    joined = own.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    wrappers = common.bounded(common.cut(induce(own.select("host", "html"))), HOSTS)
+    joined = own.join(wrappers, "host", "left").select("page_id", "url", "html", "template", "constant")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 

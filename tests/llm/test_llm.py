@@ -156,10 +156,86 @@ def test_html_main_text(spark):
     assert html_text.extract(df.limit(0)).isEmpty()
 
 
-def test_simple_tree_match():
-    a = {"nav": {}, "div": {"p": {}, "b": {}}, "footer": {}}
-    b = {"div": {"p": {}, "i": {}}, "aside": {}, "footer": {}}
-    assert html_text.simple_tree_match(a, b) == (3, [("div", "div"), ("footer", "footer")])
+def test_simple_tree_match_is_the_largest_ordered_match():
+    def tree(shape):
+        root = html_text.Node("", "", None, 0, False)
+        todo = [(root, shape)]
+        while todo:
+            node, below = todo.pop()
+            for label, deeper in below.items():
+                node.children[label] = html_text.Node(label, label, node, 0, False)
+                todo.append((node.children[label], deeper))
+        return root
+
+    a = tree({"nav": {}, "div": {"p": {}, "b": {}}, "footer": {}})
+    b = tree({"div": {"p": {}, "i": {}}, "aside": {}, "footer": {}})
+    assert [(x.label, y.label) for x, y in html_text.simple_tree_match(a, b)] == [("", ""), ("div", "div"), ("footer", "footer"), ("p", "p")]
+    # boxes that change places: the heavier one keeps its slot
+    c = tree({"footer": {}, "div": {"p": {}}, "nav": {}})
+    assert [y.label for _, y in html_text.simple_tree_match(a, c)] == ["", "div", "p"]
+
+    def plain(x, y):
+        left, right = list(x.items()), list(y.items())
+        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, (k, v) in enumerate(left, 1):
+            for j, (m, w) in enumerate(right, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + (1 + plain(v, w) if k == m else 0))
+        return table[-1][-1]
+
+    rng = random.Random(6)
+    grow = lambda depth: {k: grow(depth - 1) if depth else {} for k in rng.sample("abcdef", rng.randint(0, 5))}
+    for _ in range(60):
+        x, y = grow(2), grow(2)
+        assert len(html_text.simple_tree_match(tree(x), tree(y))) == 1 + plain(x, y)
+        assert html_text.shape(html_text.preorder(html_text.tree_of(html_text.shape(html_text.preorder(tree(x)))))) == html_text.shape(html_text.preorder(tree(x)))
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, url, html) for i, (url, html) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    rows = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    return [rows[i] for i in range(len(pages))]
+
+
+def test_html_slots_decide_without_article(spark):
+    # no article, no telling classes: what is the same on all pages goes, what varies stays, in whichever order boxes come
+    fixed, tail = "<div class=x1><p>All rights with us<p>Call us now</div>", "<div class=x9><span>Made with care</span></div>"
+    body = lambda i: f"<div class=t><h1>Title {i}</h1></div><div class=part1><p>First part {i} {'word ' * 40}</p></div><div class=part2><p>Second part {i}</p></div>"
+    pages = [(f"http://a.org/{i}", f"<body>{fixed}{body(i)}{tail}</body>" if i % 3 else f"<body>{tail}{body(i)}{fixed}</body>") for i in range(9)]
+    # two pages are too few for a template; copies of one page are one page
+    pages += [(f"http://b.org/{i}", f"<body>{fixed}{body(i)}</body>") for i in range(2)] + [("http://c.org/1", f"<body>{fixed}{body(0)}</body>")] * 6
+    # a slug in the id of every page's box, and a host of copies with one page of another layout
+    pages += [(f"http://d.org/{i}", f"<body>{fixed}<div id=how-to-{'abcdefgh'[i] * 3}><p>Own text {i}</p></div></body>") for i in range(8)]
+    pages += [("http://e.org/1", f"<body>{fixed}<section id=special><p>Only here</p></section></body>")] * 5 + [(f"http://e.org/{i}", f"<body>{fixed}<div><p>Text {i}</p></div></body>") for i in range(5)]
+    found = texts_of(spark, pages)
+    want = lambda i: f"Title {i}\nFirst part {i} {'word ' * 40}".strip() + f"\nSecond part {i}"
+    whole = "All rights with us\nCall us now\n"
+    assert found[:9] == [want(i) for i in range(9)]
+    assert found[9:17] == [whole + want(0), whole + want(1)] + [whole + want(0)] * 6
+    assert found[17:25] == [f"Own text {i}" for i in range(8)]
+    assert found[25:] == ["Only here"] * 5 + [f"Text {i}" for i in range(5)]
+
+
+def test_html_marks(spark):
+    one = "<p>Para"
+    pages = [
+        "<article><h1>H</h1><div class='social-history'><p>Old days</div><section id='search-theory'><p>Finding</section><div class=notice>Beware</div></article>",
+        "<div class='content-sidebar-wrap'><main><p>In main</main><div class=sidebar>Side</div></div>",
+        "<form action=x><div id=page><article><p>In a form</article></div><input></form><form>Sign up</form>",
+        "<div class='banner-page'><h1>T</h1><p>A<p>B<p>C</div><nav>Menu</nav>",
+        "<div class=sidebar>No</div><footer>F</footer>",
+        "<div role=main><p>Role</div><div class=commentList><p>First!</div>",
+        "<header><h1>Site</h1></header><article><header><h1>Head</h1></header>" + one + "</article>",
+        "<p><b>Bold<div>Next</b> one</div>last",
+    ]
+    want = ["H\nOld days\nFinding", "In main", "In a form", "T\nA\nB\nC", "", "Role", "Head\nPara", "Bold\nNext one\nlast"]
+    assert texts_of(spark, [(f"http://h{i}.org/", p) for i, p in enumerate(pages)]) == want
+
+
+def test_html_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "<p>Deep text" + "</x>" * 5000
+    wide = lambda k: "".join(f"<div class=c{chr(97 + (i * k) % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>T{i} of {k}</div>" for i in range(3000))
+    found = texts_of(spark, [("http://deep.org/1", deep)] * 2 + [("http://deep.org/2", deep.replace("text", "words"))] + [(f"http://wide.org/{k}", wide(k)) for k in (1, 3, 5)])
+    assert found[:3] == ["Deep text", "Deep text", "Deep words"] and all(t.count("\n") == 2999 for t in found[3:])
 
 
 # --------------------------------------------------------------------- op 5
@@ -177,12 +253,10 @@ def test_lm_counts_and_losses(spark):
     assert min(rows[i].score for i in range(60, 80)) > max(rows[i].score for i in range(60))
     # the plain model
     counts, target_counts, pairs, target_pairs = (collections.Counter() for _ in range(4))
-    total = sum(map(len, words))
     for i, w in enumerate(words):
         counts.update(w)
         target_counts.update(w if 60 <= i < 80 else [])
-    least = max(2, math.ceil(total * lm_score.WORD_SHARE))
-    known = {w for w, c in counts.items() if c >= least}
+    known = {w for w, c in counts.items() if c >= lm_score.LEAST}
     code = lambda w: w if w in known else None
     before, target_before = collections.Counter(), collections.Counter()
     for i, w in enumerate(words):
@@ -199,7 +273,7 @@ def test_lm_counts_and_losses(spark):
         for a, b in zip(["<s>", *map(code, words[doc])], map(code, words[doc]), strict=False):
             c = uni[b] if b is not None else size - sum(uni[k] for k in known)
             single = (c + lm_score.ALPHA) / (size + lm_score.ALPHA * (len(known) + 1))
-            kept = pairs[a, b] >= max(2, math.ceil(total * lm_score.PAIR_SHARE))
+            kept = pairs[a, b] >= lm_score.LEAST
             out -= math.log((lm_score.LAMBDA * bi[a, b] / max(past[a], 1) if kept else 0) + (1 - lm_score.LAMBDA) * single)
         return out / len(words[doc])
 
@@ -299,6 +373,46 @@ def test_held_out_accuracy(spark, module, kind, modulus, fold, least):
     assert module.score(docs.limit(0), module.fit(docs.limit(0), labels)).isEmpty()
 
 
+def test_toxicity_learns_pairs_that_tell_nothing_one_by_one(spark):
+    rng = random.Random(31)
+    rows, labels = [], {}
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = sentence(rng, rng.randint(10, 60)).split()
+        for there, word in ((insult, "moron"), (group, "tribes")):
+            if there:
+                words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words)))
+        labels[i] = int(insult == group)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    tests = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(tests) > 400 and sum((r.score >= 0.5) == labels[r.doc_id] for r in tests) / len(tests) >= 0.95
+
+
+def test_scores_equal_plain_forward_passes(spark):
+    texts = [*ODD, "river moron tribes", "paper light house moron moron", " ".join(["alpha Beta, gamma!"] * 60)]
+    hasher = common.Hasher()
+    machine = toxicity.Factorization(np.unique(toxicity.terms(pa.array(texts[3:]), hasher)[1]))
+    rng = np.random.default_rng(4)
+    machine.base, machine.w, machine.v = 0.3, rng.normal(size=len(machine.w)).astype(np.float32) / 9, rng.normal(size=machine.v.shape).astype(np.float32) / 9
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, texts), machine).collect()}
+    for i, text in enumerate(texts):
+        own = sorted({int(np.searchsorted(machine.buckets, b)) for b in toxicity.terms(pa.array([text], pa.string()), hasher)[1]})
+        out = machine.base + sum(float(machine.w[t]) for t in own)
+        out += sum(float(machine.v[:, a].astype(float) @ machine.v[:, b].astype(float)) for k, a in enumerate(own) for b in own[:k])
+        assert abs(got[i] - 1 / (1 + math.exp(-out))) < 1e-4
+    net = quality.Attention(quality.encode(pa.array([""]), hasher)[0].shape[1])
+    got = {r.doc_id: r.score for r in quality.score(docs_of(spark, texts), net).collect()}
+    for i, text in enumerate(texts):
+        x, bags = quality.encode(pa.array([text], pa.string()), hasher)
+        assert len(x) == bags[0] == max(1, (len((text or "").split()) + 32) // 64)
+        h = [np.tanh(row @ net.p["W"] + net.p["b"]) for row in x]
+        e = [math.exp(float((np.tanh(k @ net.p["V"]) / (1 + np.exp(-(k @ net.p["U"])))) @ net.p["a"])) for k in h]
+        z = sum(w * k for w, k in zip(e, h, strict=True)) / sum(e)
+        assert abs(got[i] - 1 / (1 + math.exp(-float(z @ net.p["c"] + net.p["d"][0])))) < 1e-4
+
+
 # --------------------------------------------------------------------- op 8
 
 
