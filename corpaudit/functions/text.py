@@ -104,18 +104,23 @@ def title_case_like(text: Column) -> Column:
 
 
 #: Words that stay low inside titles, and acronyms.
-MINOR = "a an the and but or nor for so yet as at by in of off on per to up via with from into".split()
+MINOR = "a an and as at but by for in nor of on or per the to up via with yet".split()
+ACRONYMS = "AI APA CPI EU GDP UK US USA".split()
 
 
 def title_case(text: Column) -> Column:
-    """Title case: minor words low unless first or last, words of mixed case as they are."""
+    """Title case: minor words low unless first or last, acronyms in capitals, words of mixed case as they are."""
     words = F.split(squeeze(text), " ")
-    minor = F.array(*map(F.lit, MINOR))
+    minor, acronyms = F.array(*map(F.lit, MINOR)), F.array(*map(F.lit, ACRONYMS))
 
     def one(w: Column, i: Column) -> Column:
+        core = F.regexp_extract(w, r"^\W*([\p{L}\p{N}.''’-]+)\W*$", 1)
+        lead = F.regexp_extract(w, r"^(\W*)", 1)
+        trail = F.substr(w, F.length(lead) + F.length(core) + 1)
         inner = (i > 0) & (i < F.size(words) - 1)
-        mixed = w.rlike("[a-z].*[A-Z]|^[A-Z]{2,}$")
-        return F.when(mixed, w).when(inner & F.array_contains(minor, F.lower(w)), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))
+        cased = F.when(F.array_contains(acronyms, F.upper(core)), F.upper(core)).when(inner & F.array_contains(minor, F.lower(core)), F.lower(core)).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substr(core, F.lit(2)))))
+        mixed = core.rlike("[A-Z].*[A-Z]|[a-z][A-Z]")
+        return F.when((core == "") | mixed, w).otherwise(F.concat(lead, cased, trail))
 
     return F.array_join(F.transform(words, one), " ")
 

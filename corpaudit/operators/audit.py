@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpaudit.operators import citations, corrections, headings, matching, references, report, requirements, rules, structure
+from corpaudit.operators import citations, corrections, headings, matching, properties, references, report, requirements, rules, structure
+from corpaudit.tables import cut
 
 
 def default_settings(paras: DataFrame) -> DataFrame:
@@ -14,35 +15,54 @@ def default_settings(paras: DataFrame) -> DataFrame:
     return requirements.effective_requirements(base)
 
 
-def analyse(paras: DataFrame) -> dict[str, DataFrame]:
-    """All child tables; those that several rules read are kept (released with spark.catalog.clearCache or unpersist)."""
-    marked = structure.annotate(paras).persist()
-    doc = structure.structure(marked).persist()
-    found, refs = citations.extract_citations(marked).persist(), references.references_of(marked).persist()
-    matches = matching.match_status(matching.match_citations(found, refs), found).persist()
-    return {"paragraphs": marked, "structure": doc, "headings": headings.headings_of(marked, doc).persist(), "citations": found, "references": refs, "matches": matches, "usage": matching.reference_usage(matches, refs)}
+def analyse(paras: DataFrame, forced: DataFrame | None = None, style_names: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All child tables, written once each: what reads them starts a plan of its own.
 
+    forced: levels of headings that users set (doc_id, p_idx, level); style_names: (doc_id, style_id, name).
+    """
+    marked = cut(structure.annotate(paras))
+    doc = cut(structure.structure(marked))
+    found, refs = cut(citations.extract_citations(marked)), cut(references.references_of(marked))
+    heads = headings.headings_of(marked, doc, style_names)
+    heads = cut(heads if forced is None else headings.apply_forced(heads, forced))
+    matches = cut(matching.match_status(matching.match_citations(found, refs), found))
+    return {"paragraphs": marked, "structure": doc, "headings": heads, "citations": found, "references": refs, "matches": matches, "usage": matching.reference_usage(matches, refs)}
 
-def audit(paras: DataFrame, settings: DataFrame | None = None, groups: tuple[str, ...] = ("text",), disabled: DataFrame | None = None, extra: dict[str, DataFrame] | None = None, own_rules: list | None = None) -> dict[str, DataFrame]:
-    """issues, rule_results, category_summary, report, and the tables they come from."""
-    t = analyse(paras) | (extra or {})
+
+def audit(
+    paras: DataFrame, settings: DataFrame | None = None, groups: tuple[str, ...] = ("text",), disabled: DataFrame | None = None, extra: dict[str, DataFrame] | None = None, own_rules: list | None = None,
+    styles: DataFrame | None = None, forced: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """issues, rule_results, category_summary, report, and the tables they come from.
+
+    extra: sections, tables, figures, headers_footers, where known; styles: the style table, from which the properties
+    of paragraphs are resolved first; forced: heading levels that users set; own_rules: further rules.
+    """
+    names = None
+    if styles is not None:
+        paras, names = cut(properties.effective_props(paras, styles)), styles.select("doc_id", "style_id", "name")
+    t = analyse(paras, forced, names) | (extra or {})
     listed = (rules.text_rules() if "text" in groups else []) + (rules.format_rules() if "format" in groups else []) + (own_rules or [])
-    inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras))
+    inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras), {r.table for r in listed})
     issues, results = rules.evaluate_rules(inputs, listed, disabled)
-    issues, results = issues.persist(), results.persist()
     settled = issues.withColumn("option_id", F.lit(None).cast("string"))
     return t | {"inputs": inputs, "issues": issues, "rule_results": results, "category_summary": report.category_summary(results, settled), "report": report.report(results, settled)}
 
 
-def correct(paras: DataFrame, settings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(corrected paragraphs, changes): citation text, reference text, properties, then order, as rules read each other's results."""
+def correct(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(corrected paragraphs, changes). What changes is what the rules find: citation and reference texts, then the
+    properties, typed indents and blank paragraphs of the format rules, then the order of the references.
+
+    changes: doc_id, p_idx, rule_id, before, after; p_idx is the place before blank paragraphs went.
+    """
     fused, splits = structure.split_fused(paras)
-    fused = fused.persist()
-    t = analyse(fused)
-    inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras))
-    texts = corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"]).persist()
-    props = corrections.required_props(inputs["paragraphs"]).persist()
-    out = corrections.apply_prop_changes(corrections.apply_text_changes(fused, texts), props)
-    out = corrections.reorder_references(out, t["references"]).persist()
-    kept = texts.select("doc_id", "p_idx", "rule_id", "before", "after").unionByName(props.select("doc_id", "p_idx", "rule_id", F.col("field").alias("before"), F.col("value").cast("string").alias("after"))).unionByName(splits)
-    return out, kept
+    fused = cut(fused)
+    t = analyse(fused, forced)
+    inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras), {"paragraphs", "citation_problems", "reference_problems"})
+    texts = cut(corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"]))
+    props = cut(rules.proposed_changes(inputs["paragraphs"], rules.format_rules()))
+    out = cut(corrections.apply_prop_changes(corrections.apply_text_changes(fused, texts), props))
+    out = cut(corrections.remove_paragraphs(corrections.reorder_references(out, t["references"]), props))
+    old = inputs["paragraphs"].select("doc_id", "p_idx", "text")
+    set_ = props.join(old, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "rule_id", F.when(F.col("field") == "text", F.col("text")).otherwise(F.col("field")).alias("before"), F.col("value").alias("after"))
+    return out, cut(texts.select("doc_id", "p_idx", "rule_id", "before", "after").unionByName(set_).unionByName(splits))

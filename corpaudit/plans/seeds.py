@@ -79,3 +79,10 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_break_after", F.lit(False).alias("has_numbering"), F.lit(False).alias("has_sect_pr"), F.lit(False).alias("inside_table"), typed_null("string").alias("text_before_break"), typed_null("string").alias("text_after_break"),
     )
     return out
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header with a page number for every paper, but for customers of one in seven."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    field = F.when(F.col("doc_id") % 7 == 3, "DATE").otherwise("PAGE")
+    return own.select("doc_id", F.lit("header1").alias("part"), F.lit("header").alias("kind"), F.lit("default").alias("ref_type"), F.lit("").alias("text"), F.array(field).alias("field_codes"))
