@@ -49,15 +49,18 @@ def audit(
     return t | {"inputs": inputs, "issues": issues, "rule_results": results, "category_summary": report.category_summary(results, settled), "report": report.report(results, settled)}
 
 
-def correct(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def correct(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None, styles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corrected paragraphs, changes). What changes is what the rules find: citation and reference texts, then the
     properties, typed indents and blank paragraphs of the format rules, then the order of the references.
 
     changes: doc_id, p_idx, rule_id, before, after; p_idx is the place before blank paragraphs went.
     """
+    names = None
+    if styles is not None:
+        paras, names = cut(properties.effective_props(paras, styles)), styles.select("doc_id", "style_id", "name")
     fused, splits = structure.split_fused(paras)
     fused = cut(fused)
-    t = analyse(fused, forced)
+    t = analyse(fused, forced, names)
     inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras), {"paragraphs", "citation_problems", "reference_problems"})
     texts = cut(corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"]))
     props = cut(rules.proposed_changes(inputs["paragraphs"], rules.format_rules()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpaudit.functions import text as fx
 from corpaudit.operators import assembly, audit, corrections, report, requirements, verify
-from corpaudit.plans import seeds
+from corpaudit.plans import layouts, seeds
 from corpaudit.plans.common import table
 from corpaudit.plans.paper_queries import _LISTED, N, O
 from corpaudit.sources import corpus
@@ -210,3 +210,46 @@ def corpus_profile(spark, sf_dir):
     paras = seeds.papers(spark, sf_dir)
     t = audit.analyse(paras)
     return corpus.profile(paras, t["structure"], t["headings"], t["citations"], t["references"]).drop("metadata", "images")
+
+
+def _layouts(spark, sf_dir):
+    t = {name: cut(df) if name in ("paragraphs", "styles") else df for name, df in layouts.tables(spark, sf_dir).items()}
+    return t, requirements.effective_requirements(t["settings"])
+
+
+_OWN = f"SELECT c_custkey AS doc_id, rule_id, status, issues FROM customer JOIN ({{}}) v(layout, rule_id, status, issues) ON c_custkey % {len(layouts.layouts())} = layout"
+
+
+@query(_OWN.format(layouts.findings_sql()))
+def layout_issues(spark, sf_dir):
+    """Papers that each break one rule: text, format, tables, figures, sections, headers, styles and requirements."""
+    t, settings = _layouts(spark, sf_dir)
+    extra = {k: t[k] for k in ("sections", "headers_footers", "tables", "figures")}
+    found = audit.audit(t["paragraphs"], settings, ("text", "format"), extra=extra, styles=t["styles"])["issues"]
+    return found.groupBy("doc_id", "rule_id", "status").agg(F.count("*").alias("issues"))
+
+
+@query(_OWN.format(layouts.findings_sql(fixed=True)))
+def layout_issues_corrected(spark, sf_dir):
+    """An independent audit of those papers after their corrections: what is left is what no correction mends."""
+    t, settings = _layouts(spark, sf_dir)
+    fixed = audit.correct(t["paragraphs"], settings, styles=t["styles"])[0]
+    extra = {"sections": corrections.apply_section_changes(t["sections"]), "headers_footers": corrections.add_page_headers(t["headers_footers"], t["paragraphs"]), "tables": t["tables"], "figures": t["figures"]}
+    found = audit.audit(fixed, settings, ("text", "format"), extra=extra, styles=t["styles"])["issues"]
+    return found.groupBy("doc_id", "rule_id", "status").agg(F.count("*").alias("issues"))
+
+
+_CATEGORIES = "CITATION citations REFERENCE references QUOTE quotations HEAD headings STAT statistics NUM numbers ABBR abbreviations LAYOUT layout PARA paragraph TITLE title_page ABS abstract TABLE tables FIGURE figures".split()
+_CATEGORIES = ", ".join(f"('{part}', '{category}')" for part, category in zip(_CATEGORIES[::2], _CATEGORIES[1::2], strict=True))
+
+
+@query(f"""WITH f AS ({_OWN.format(layouts.findings_sql())}), r AS (SELECT * FROM (VALUES {_CATEGORIES}) r(part, category))
+SELECT c_custkey AS doc_id, category, coalesce(sum(issues), 0)::BIGINT AS issue_count, count(DISTINCT f.rule_id) AS broken FROM customer CROSS JOIN r LEFT JOIN f ON f.doc_id = c_custkey AND split_part(f.rule_id, '-', 2) = part GROUP BY ALL""")
+def layout_categories(spark, sf_dir):
+    """The category rollup: issues, and how many rules that apply have not passed."""
+    t, settings = _layouts(spark, sf_dir)
+    extra = {k: t[k] for k in ("sections", "headers_footers", "tables", "figures")}
+    out = audit.audit(t["paragraphs"], settings, ("text", "format"), extra=extra, styles=t["styles"])
+    nothing_answered = out["issues"].withColumn("option_id", F.lit(None).cast("string"))
+    rows = report.category_summary(out["rule_results"], nothing_answered)
+    return rows.select("doc_id", "category", "issue_count", (F.col("rules_checked") - F.col("rules_passed")).alias("broken"))
