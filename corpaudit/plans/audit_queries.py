@@ -209,7 +209,7 @@ def runs_kept(spark, sf_dir):
 def corpus_profile(spark, sf_dir):
     paras = seeds.papers(spark, sf_dir)
     t = audit.analyse(paras)
-    return corpus.profile(paras, t["structure"], t["headings"], t["citations"], t["references"]).drop("metadata", "images")
+    return corpus.profile(paras, t["structure"], t["headings"], t["citations"], t["references"]).drop("metadata", "images", "tables", "footnotes")
 
 
 def _layouts(spark, sf_dir):

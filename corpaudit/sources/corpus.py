@@ -67,9 +67,13 @@ def dedupe_intake(files: DataFrame, cap: int = 30) -> DataFrame:
     return files.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r").orderBy("arrival").limit(cap)
 
 
-def profile(paras: DataFrame, structure: DataFrame, headings: DataFrame, citations: DataFrame, references: DataFrame) -> DataFrame:
-    """One row per document: counts of paragraphs, headings, citations, references and images, and what was detected."""
+def profile(paras: DataFrame, structure: DataFrame, headings: DataFrame, citations: DataFrame, references: DataFrame, tables: DataFrame | None = None, footnotes: DataFrame | None = None) -> DataFrame:
+    """One row per document: counts of paragraphs, headings, citations, references, images, and (null where not known) tables
+    and footnotes, and what was detected."""
     counts = paras.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.count_if("has_drawing").alias("images"))
-    for name, df in (("headings", headings), ("citations", citations), ("references", references)):
+    for name, df in (("headings", headings), ("citations", citations), ("references", references), ("tables", tables), ("footnotes", footnotes)):
+        if df is None:
+            counts = counts.withColumn(name, F.lit(None).cast("long"))
+            continue
         counts = counts.join(df.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return counts.join(structure.select("doc_id", "has_title_page", F.col("abstract_heading").isNotNull().alias("has_abstract"), "metadata"), "doc_id", "left")

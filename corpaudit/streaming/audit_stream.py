@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpaudit.operators.audit import audit
 from corpaudit.sources.corpus import to_paragraphs
@@ -38,5 +42,34 @@ def expire(runs: DataFrame, now, minutes: int = 60) -> DataFrame:
 
 
 def expire_stream(runs: DataFrame, minutes: int = 60) -> DataFrame:
-    """On a stream: the latest state of each run within a watermark of the retention; older ones leave the state."""
-    return runs.withWatermark("ts", f"{minutes} minutes").dropDuplicatesWithinWatermark(["run_id", "status"])
+    """On a stream of (run_id, status, ts): run_id, status, ts, expired.
+
+    A run's latest state is given whenever it changes. It is kept until the watermark passes its time by the retention,
+    then given once more as expired and forgotten; a run still processing is kept on. State is one row per live run.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.getOption
+        if state.hasTimedOut:
+            status, at = held
+            if status == "processing":
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + minutes * 60_000)
+                return
+            state.remove()
+            yield pd.DataFrame({"run_id": [key[0]], "status": [status], "ts": [pd.Timestamp(at, unit="ms")], "expired": [True]})
+            return
+        newest = held
+        for rows in batches:
+            millis = rows["ts"].astype("datetime64[ms]").astype("int64")
+            for status, at in zip(rows["status"], millis, strict=True):
+                # of one time the greatest status counts, as in latest_stage
+                if newest is None or (at, status) > (newest[1], newest[0]):
+                    newest = (status, int(at))
+        state.update(newest)
+        state.setTimeoutTimestamp(max(newest[1] + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        if newest != held:
+            yield pd.DataFrame({"run_id": [key[0]], "status": [newest[0]], "ts": [pd.Timestamp(newest[1], unit="ms")], "expired": [False]})
+
+    key = runs.schema["run_id"].dataType.simpleString()
+    named = runs.select("run_id", "status", "ts").withWatermark("ts", "0 seconds").groupBy("run_id")
+    return named.applyInPandasWithState(keep, f"run_id {key}, status string, ts timestamp, expired boolean", "status string, at long", "update", GroupStateTimeout.EventTimeTimeout)
