@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
