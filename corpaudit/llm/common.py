@@ -6,7 +6,9 @@ Blocks are bounded in bytes (one row at least), which bounds a task's memory.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -40,16 +42,18 @@ def release() -> None:
         trim(0)
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 

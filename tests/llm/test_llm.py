@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -55,6 +56,50 @@ def test_components_are_smallest_reachable(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_components_of_a_long_path(spark):
+    path = spark.range(2000).selectExpr("id * 7919 % 2003 AS a", "(id + 1) * 7919 % 2003 AS b")
+    found = common.components(path).collect()
+    assert len(found) == 2001 and {r.component for r in found} == {0}
+
+
+def test_hashes_differ_where_words_do():
+    hasher = common.Hasher()
+    # a Thue-Morse word and its complement collide under every polynomial modulo 2^64
+    t, u = "a", "b"
+    for _ in range(12):
+        t, u = t + u, u + t
+    rng = random.Random(2)
+    words = {t[:k] for k in range(1, 200)} | {u[:k] for k in range(1, 200)} | {t, u} | {"".join(rng.choice("ab") for _ in range(rng.randint(1, 90))) for _ in range(3000)}
+    words = sorted(words)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = common.words(data, np.array([0, len(data)]), common.byte_mask(common.SPACES))
+    found = hasher.spans(data, starts, ends)
+    assert len(set(found.tolist())) == len(words) == len(found)
+    upper = np.frombuffer(" ".join(words).upper().encode(), np.uint8)
+    assert (hasher.spans(upper, starts, ends) == found).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = lambda master, found=None: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default: found), sparkContext=types.SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(session("spark://nowhere:7077"))
+    assert common.shared_dir(session("spark://nowhere:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(session("local[2]")) == common.shared_dir(session("local[4]")) != ""
+
+
+def test_functions_travel_with_their_code(spark):
+    # what is sent to executors names no module of the package that they would have to import
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    model = toxicity.Factorization(np.zeros(0, np.int64), 0.25)
+    sent = cloudpickle.dumps(lambda: float(model.score(pa.array(["a b", None]), common.Hasher()).sum()))
+    code = f"import pickle; print(pickle.loads({sent!r})())"
+    assert subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, cwd="/", check=True).stdout.strip() == "0.5"
+
+
 # --------------------------------------------------------------------- op 1
 
 
@@ -70,6 +115,11 @@ def test_url_rules_and_reputation(spark):
     post = {r.host: r.posterior for r in url_filter.reputation(hosts, good).collect()}
     assert post["good.shop.net"] > 0.8 > 0.6 > post["new.shop.net"] > 0.4 > post["bad.shop.net"]
     assert url_filter.filter_urls(pages.limit(0), url_filter.RULES).isEmpty()
+    # outcomes of a host without a page count for its domain, with or without a port
+    seen = spark.createDataFrame([(0, "http://a.net:8080/x"), (1, "http://far.org/")], "page_id long, url string")
+    bad = spark.createDataFrame([("b.a.net", False)] * 50 + [("c.org", True)] * 50, "host string, good boolean")
+    judged = {r.page_id: r for r in url_filter.filter_urls(seen, [], bad).collect()}
+    assert judged[0].posterior < 0.2 and judged[0].verdict == "block" and judged[1].posterior > 0.5 and set(judged) == {0, 1}
 
 
 # --------------------------------------------------------------------- op 2
@@ -135,6 +185,18 @@ def test_leaks_equal_brute_force(spark):
     kept = {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in wanted}
     assert decontaminate.find_leaks(docs_of(spark, texts), bench.limit(0)).isEmpty()
+    # a benchmark in several blocks gives the same
+    several = decontaminate.find_leaks(docs_of(spark, texts), bench, block_words=60)
+    assert len(list(decontaminate.item_blocks(bench, 60))) > 2 and {(r.doc_id, r.item_id): r.distance for r in several.collect()} == found
+    assert {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), bench, block_words=60).collect()} == kept
+
+
+def test_leaks_in_capitals_and_of_few_words(spark):
+    item = "ΟΔΥΣΣΕΥΣ ΛΕΓΕΙ ΠΟΛΛΟΥΣ ΜΥΘΟΥΣ ΚΑΛΟΥΣ"
+    bench = spark.createDataFrame([(0, item), (1, "two words")], "item_id long, text string")
+    docs = docs_of(spark, [f"x {item} y", f"x {item.lower()} y", "Two, WORDS!", "two words more", item.replace("ΛΕΓΕΙ", "ΓΡΑΦΕΙ")])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 0), (2, 1), (4, 0)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {3}
 
 
 # --------------------------------------------------------------------- op 4
@@ -325,6 +387,42 @@ def test_lattice_links(spark):
     assert lattice.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_lattice_classes_equal_brute_force(spark):
+    # far enough from the threshold on either side that every pair is found; crowds above a block, equal and unequal
+    rng = np.random.default_rng(5)
+    old, lattice.BLOCK = lattice.BLOCK, 64
+    try:
+        base = np.eye(12)[:10]
+        vectors = [(b + rng.normal(size=12) * 0.004).tolist() for b in base[:4] for _ in range(90)] + [base[5].tolist()] * 300 + [base[6].tolist()] + [[0.0, 3.0], [0.0, 6.0], [1.0, 0.0], [5.0]]
+        vectors += [None, [], [0.0] * 12, [float("inf")] + [0.0] * 11, [None] + [1.0] * 11]
+        order = rng.permutation(len(vectors)).tolist()
+        rows = [(i, vectors[k]) for i, k in enumerate(order)]
+        # an id of two vectors joins their classes; a null id links with nothing
+        rows += [(rows[order.index(0)][0], base[6].tolist()), (None, base[6].tolist())]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+        found = lattice.near_duplicates(df).collect()
+    finally:
+        lattice.BLOCK = old
+    unit = [None if v is None or not v or None in v or not np.isfinite(v).all() or not any(v) else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    linked = [[j for j, y in enumerate(unit) if j != i and x is not None and y is not None and rows[i][0] is not None and rows[j][0] is not None and len(x) == len(y) and x @ y >= 0.9] for i, x in enumerate(unit)]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    same_id = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[i][0] == rows[j][0] and unit[i] is not None and unit[j] is not None]
+    for i, j in [(i, j) for i, own in enumerate(linked) for j in own] + same_id:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (vec, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), vec), vec) if vec is not None else least.get(find(i))
+    wanted = sorted(str((vec, len(linked[i]), least[find(i)], vec is None or vec == least[find(i)])) for i, (vec, _) in enumerate(rows))
+    assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in found) == wanted
+
+
 def test_e8_is_the_nearest_point():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 8)) * 1.5
@@ -469,6 +567,14 @@ def test_jaccard_ids_with_several_texts_keep_the_links_of_each(spark):
     assert found == {(i, 1) for i in (1, 5, 7, 8)} | {(i, 2) for i in (2, 3, 9, 10)} | {(11, 11), (12, 11)}
 
 
+def test_jaccard_bucket_of_unlike_members(spark):
+    # thousands of texts that share one short passage and nothing else: one bucket at most, no class
+    passage = "this very passage is in all of them"
+    texts = [f"{passage} w{i} x{i} y{i} z{i}" for i in range(3000)] + [f"{passage} w{i} x{i} y{i} z{i}" for i in range(40)]
+    rows = jaccard.jaccard_classes(docs_of(spark, texts), 4, 85, 100).collect()
+    assert all(r.component_id == (r.doc_id if r.doc_id < 3000 else r.doc_id - 3000) for r in rows) and len(rows) == 3040
+
+
 # -------------------------------------------------------------------- op 10
 
 
@@ -489,6 +595,26 @@ def test_shards(spark):
     assert sharding.shuffle_to_shards(docs.limit(0)).isEmpty()
 
 
+def test_shards_and_slots_are_uniform(spark):
+    # many blocks, many copies: over seeds every row is as often in every shard, and in either half of the slots
+    docs = docs_of(spark, ["copy"] * 150 + [f"t{i}" for i in range(50)])
+    in_shard, low = collections.Counter(), collections.Counter()
+    for seed in range(60):
+        rows = sharding.shuffle_to_shards(docs, shards=4, seed=seed, block_rows=2).collect()
+        assert collections.Counter(r.shard for r in rows) == {k: 50 for k in range(4)}
+        for r in rows:
+            in_shard[r.doc_id % 20, r.shard] += 1
+            low[r.doc_id % 20] += r.slot < 25
+    # 600 draws a cell: 150 a shard, 300 in the lower half; five standard deviations
+    assert all(abs(in_shard[i, k] - 150) < 54 for i in range(20) for k in range(4)) and all(abs(low[i] - 300) < 62 for i in range(20))
+
+
+def test_the_matrix_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_BLOCKS", 70)
+    rows = sharding.shuffle_to_shards(docs_of(spark, [f"t{i}" for i in range(400)]), block_rows=1).collect()
+    assert sorted(collections.Counter(r.shard for r in rows).values()) == [50] * 8
+
+
 def test_communication_matrix():
     blocks, shards = [50, 0, 7, 143], [67, 67, 66]
     drawn = [sharding.matrix(blocks, shards, seed) for seed in range(400)]
