@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task takes its slice of the corpus block by block. The distinct words of a block are laid out as one
-array of symbols; an inverted index from merge rank to symbol positions then replays every merge in rank
-order over all those words at once, and only the neighbours of merged positions are looked at again. A
-word's ids do not depend on its block, so blocks need no exchange: no shuffle, memory bounded by a block,
-and a lost task is simply run again.
+Spark counts the distinct words of the corpus (matches of the pattern), and the words that occur HOT times or more are
+replayed once for the whole corpus: in each partition of the word table, the words are laid out as one array of
+symbols, and an inverted index from merge rank to symbol positions replays every merge in rank order over all of them
+at once, looking only at the neighbours of merged positions again. Their ids are broadcast, from the occurrences on
+that keep within a bound of words and bytes. The words beyond it, most of which occur in one place only, are replayed the same way with
+the block of text that holds them: a word's ids do not depend on where it is replayed, so no text is ever shuffled.
+
+The count splits words with the JVM's pattern engine, whose idea of white space is narrower; what it finds only decides what
+is replayed once. Each text is split by the tokenizer's own pattern.
 
 Defined results: null or empty text has no tokens (and decodes to empty bytes); repeated rows give repeated
 rows; any further columns of the input pass through unless they clash with an output name, in which case the
@@ -29,8 +33,10 @@ from . import common
 
 #: Bytes of text whose words share one replay.
 BLOCK_BYTES = 2_000_000
-#: Words whose ids a task keeps from block to block before it starts anew.
-KNOWN_WORDS = 150_000
+#: Further words whose ids a task keeps from block to block before it starts anew.
+KNOWN_WORDS = 100_000
+#: Occurrences that make a word one of the corpus, and the words and bytes of words that are broadcast at most.
+HOT, HOT_WORDS, HOT_BYTES = 20, 100_000, 4_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -167,25 +173,57 @@ class Replay:
         return symbol[kept], owner[kept]
 
 
-def _numbers() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """No words yet: a dictionary that numbers words as they come, their ids, and the count of ids of each."""
-    return collections.defaultdict(itertools.count().__next__), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+class Known:
+    """Numbers of words as they come, their ids one after the other, and the count of ids of each."""
+
+    def __init__(self, hot: tuple[list[str], bytes, bytes]):
+        words, ids, counts = hot
+        self.number = collections.defaultdict(itertools.count(len(words)).__next__, zip(words, itertools.count()))
+        self.ids, self.counts = np.frombuffer(ids, "<u4"), np.frombuffer(counts, np.int64)
 
 
-def _encoder(tokens: list[bytes], pattern: str, text_col: str, schema: pa.Schema):
+def corpus_words(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text") -> tuple[list[str], bytes, bytes]:
+    """The hot words of the corpus, their ids and counts of ids, replayed in the partitions of the word table."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = Replay(tokens)
+        for batch in batches:
+            ids, counts = replay.words([w.encode() for w in batch.column("word").to_pylist()])
+            ends = np.cumsum(counts)
+            packed = [ids[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(packed, pa.binary())], names=["word", "n", "ids"])
+
+    made = common.cut(words.where((F.col("n") >= HOT) & (F.length("word") > 1)).mapInArrow(replayed, "word string, n long, ids binary"))
+    # the least power of two such that the words that occur so often keep within the bounds
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = made.groupBy(power.alias("power")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("bytes")).orderBy(F.desc("power")).collect()
+    least, words_, bytes_ = 64, 0, 0
+    for r in sizes:
+        words_, bytes_ = words_ + r.words, bytes_ + r.bytes
+        if words_ > HOT_WORDS or bytes_ > HOT_BYTES:
+            break
+        least = r.power
+    rows = made.where(power >= least).orderBy("word").collect()
+    common.drop(made)
+    return [r.word for r in rows], b"".join(bytes(r.ids) for r in rows), np.array([len(r.ids) // 4 for r in rows], np.int64).tobytes()
+
+
+def _encoder(tokens: list[bytes], pattern: str, text_col: str, schema: pa.Schema, sent):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         split, replay = regex.compile(pattern).findall, Replay(tokens)
-        number, flat, counts = _numbers()
+        words = Known(sent.value)
         for block in common.blocks(batches, text_col, BLOCK_BYTES):
-            if len(number) > KNOWN_WORDS:
-                number, flat, counts = _numbers()
-            known = len(counts)
-            look = number.__getitem__
+            if len(words.number) > KNOWN_WORDS + HOT_WORDS:
+                words = Known(sent.value)
+            known = len(words.counts)
+            look = words.number.__getitem__
             rows = [np.fromiter(map(look, split(t or "")), np.int32) for t in block.column(text_col).to_pylist()]
-            new, size = replay.words([w.encode() for w in itertools.islice(number, known, None)])
-            flat, counts = np.append(flat, new.astype("<u4")), np.append(counts, size)
+            new, size = replay.words([w.encode() for w in itertools.islice(words.number, known, None)])
+            words.ids, words.counts = np.append(words.ids, new.astype("<u4")), np.append(words.counts, size)
+            flat, counts = words.ids, words.counts
             first = np.cumsum(counts) - counts
             packed, totals = [], []
             for row in rows:
@@ -225,10 +263,11 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text") -> DataFrame:
-    """The input with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned 32-bit ids)."""
+    """The input with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned 32-bit ids). Counts the words of all docs first."""
     common.configure(docs.sparkSession)
     schema = _extended(docs, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.mapInArrow(_encoder(tokens, pattern, text_col, _arrow(schema)), schema)
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, tokens, pattern, text_col))
+    return docs.mapInArrow(_encoder(tokens, pattern, text_col, _arrow(schema), sent), schema)
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], ids_col: str = "ids") -> DataFrame:
@@ -247,7 +286,9 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     # both steps in one worker: the decoder reads nothing but the encoder's ids
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     whole = T.StructType([*schema.fields, T.StructField("decoded", T.BinaryType())])
-    encode_, decode_ = _encoder(tokens, pattern or public_tokenizers.PATTERN, "text", _arrow(schema)), _decoder(tokens, "ids", _arrow(whole))
+    pattern = pattern or public_tokenizers.PATTERN
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_words(docs, tokens, pattern))
+    encode_, decode_ = _encoder(tokens, pattern, "text", _arrow(schema), sent), _decoder(tokens, "ids", _arrow(whole))
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: decode_(encode_(batches)), whole)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
