@@ -10,6 +10,7 @@ from corpaudit.operators import citations as cit
 from corpaudit.operators import headings as hd
 from corpaudit.operators import matching, references, structure
 from corpaudit.plans import seeds
+from corpaudit.tables import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,7 +32,7 @@ N = "n AS (SELECT c_custkey AS doc_id, coalesce(c, 0) AS n, c_mktsegment AS segm
 
 
 def audit_tables(spark, sf_dir) -> dict[str, DataFrame]:
-    paras = structure.annotate(seeds.papers(spark, sf_dir))
+    paras = cut(structure.annotate(seeds.papers(spark, sf_dir)))
     doc = structure.structure(paras)
     found = cit.extract_citations(paras)
     refs = references.references_of(paras)
