@@ -265,9 +265,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents whose id is the smallest of their class; of rows that repeat an id, all stay."""
+    """The documents whose id is the smallest of their class. Of rows that repeat an id, each different text stays once."""
     classes = jaccard_classes(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(common.bounded(common.cut(classes), IDS), "doc_id", "left_anti")
+    kept = docs.join(common.bounded(common.cut(classes), IDS), "doc_id", "left_anti")
+    repeated = common.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    repeated = common.bounded(repeated, IDS)
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -567,6 +567,16 @@ def test_jaccard_ids_with_several_texts_keep_the_links_of_each(spark):
     assert found == {(i, 1) for i in (1, 5, 7, 8)} | {(i, 2) for i in (2, 3, 9, 10)} | {(11, 11), (12, 11)}
 
 
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(23)
+    one, two, three = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, one), (2, one + " more"), (3, two), (3, three), (3, two), (4, three), (5, None), (5, None), (None, one), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, one): 1, (3, two): 1, (3, three): 1, (5, None): 1, (None, one): 1, (None, ""): 1}
+
+
 def test_jaccard_bucket_of_unlike_members(spark):
     # thousands of texts that share one short passage and nothing else: one bucket at most, no class
     passage = "this very passage is in all of them"
