@@ -19,22 +19,27 @@ POOR, TOXIC = 0.5, 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go; null and empty texts are scored like any other."""
     return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")), POOR)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; null and empty texts get the model's base score."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")), TOXIC)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the smallest id stays; documents without words stay, and of rows that repeat an id the different texts stay."""
     return jaccard.keep_one(docs)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text that is left; null and empty texts have no tokens."""
     return bpe.digests(docs)
 
 
