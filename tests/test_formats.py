@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpaudit import schemas
 from corpaudit.functions import text as fx
-from corpaudit.operators import audit, corrections, headings, properties, report, rules, structure, verify
+from corpaudit.operators import assembly, audit, corrections, headings, properties, report, rules, structure, verify
 from corpaudit.plans import layouts
 from corpaudit.sources import corpus, sinks
 from corpaudit.streaming import audit_stream
@@ -169,3 +169,21 @@ def test_retention_on_a_stream(spark, tmp_path):
     assert kept == {("a", "ready"), ("b", "processing"), ("b", "ready"), ("c", "ready"), ("d", "ready"), ("e", "ready")}
     # a run still processing is not forgotten; the last one is too young
     assert {(r.run_id, r.status) for r in rows if r.expired} >= {("a", "ready"), ("c", "ready")} and not any(r.expired and (r.run_id == "e" or r.status == "processing") for r in rows)
+
+
+def test_structure_without_title_page_and_past_contents(spark):
+    prose = "This line of plain prose goes on for quite some time and has far more than twenty words in it, so that it must be read as text of the body."
+    bare = structure.annotate(paragraphs(spark, [("Rivers In Winter", {}), ("Ella Marsh", {}), ("Northern University", {}), (prose, {}), ("March 3, 2024", {})]))
+    r = structure.structure(bare).first()
+    assert (r.has_title_page, r.title_end, r.body_start, r.metadata.title, r.metadata.author, r.metadata.institution, r.metadata.due_date) == (False, 0, 0, "Rivers In Winter", "Ella Marsh", "Northern University", None)
+    brk = {"flags": {"page_break_after": True}}
+    lines = [("Rivers In Winter", {}), ("Ella Marsh", brk), ("Table of Contents", {}), ("Abstract ... 2", {}), ("Findings ... 3", brk), ("Abstract", {}), (prose, {}), ("Keywords: rivers", {}), (prose, {}), ("References", {}), ("Marsh, E. (2018). On thaw.", {}), ("Appendix A", {}), (prose, {})]
+    marked = structure.annotate(paragraphs(spark, lines))
+    r = structure.structure(marked).first()
+    assert (r.has_title_page, r.title_end, r.abstract_heading, r.keywords, r.body_start, r.reference_heading, r.reference_entries) == (True, 2, 5, 7, 8, 9, 1)
+
+
+def test_projected_words(spark):
+    counts = spark.createDataFrame([(1, 10), (2, 5)], "doc_id long, words long")
+    order = spark.createDataFrame([(1, 0, "Late ice notes"), (2, 1, "Two words")], "doc_id long, ord int, heading string")
+    assert assembly.projected_words(counts, order, 7).first().projected == 10 + 5 + 3 + 2 + 7
