@@ -181,18 +181,20 @@ def _verify(num: int, den: int, schema: pa.Schema):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, repeated: bool) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every order and verify. What belongs to b travels to a, so a hot pivot is sent once."""
 
     def beside(pairs: DataFrame, side: str, *columns: str) -> DataFrame:
         return pairs.join(sets.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}{side}") for c in columns)), side)
 
     orders = [f"p{i}" for i in range(len(ORDERS) - 1)]
-    # an id may have several sets: a pair passes if any two of them do
+    # without an aggregate behind it, Spark may split the join of a hot pivot
     passed = beside(beside(pairs, "b", *orders), "a", *orders)
     for c in orders:
         passed = passed.where(F.arrays_overlap(f"{c}a", f"{c}b"))
-    passed = common.cut(passed.select("a", "b").distinct())
+    passed = passed.select("a", "b")
+    # an id may have several sets: a pair passes if any two of them do
+    passed = common.cut(passed.distinct() if repeated else passed)
     both = beside(beside(passed, "b", "s"), "a", "s").select("a", "b", "sa", "sb")
     found = common.cut(both.mapInArrow(_verify(num, den, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"))
     common.drop(passed)
@@ -238,7 +240,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             sets = sets.dropDuplicates(["id", "text"])
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64())), *((f"p{i}", pa.list_(pa.int32())) for i in range(len(ORDERS) - 1))])
         sets = common.cut(sets.mapInArrow(_sets(n, num, den, schema), "id long, n long, s array<long>, p0 array<int>, p1 array<int>"))
-        found = _links(pairs, sets, num, den)
+        found = _links(pairs, sets, num, den, repeated)
         common.drop(sets)
         return found
 
