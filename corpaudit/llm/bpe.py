@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Spark counts the distinct words of the corpus (matches of the pattern), and the words that occur HOT times or more are
+Spark counts in how many documents each distinct word of the corpus (match of the pattern) is, and the words of HOT documents or more are
 replayed once for the whole corpus: in each partition of the word table, the words are laid out as one array of
 symbols, and an inverted index from merge rank to symbol positions replays every merge in rank order over all of them
-at once, looking only at the neighbours of merged positions again. Their ids are broadcast, from the occurrences on
-that keep within a bound of words and bytes. The words beyond it, most of which occur in one place only, are replayed the same way with
+at once, looking only at the neighbours of merged positions again. Their ids are broadcast; of more words than a bound
+allows, those of most documents. The words beyond it, most of which occur in one place only, are replayed the same way with
 the block of text that holds them: a word's ids do not depend on where it is replayed, so no text is ever shuffled.
 
 The count splits words with the JVM's pattern engine, whose idea of white space is narrower; what it finds only decides what
@@ -35,8 +35,9 @@ from . import common
 BLOCK_BYTES = 2_000_000
 #: Further words whose ids a task keeps from block to block before it starts anew.
 KNOWN_WORDS = 100_000
-#: Occurrences that make a word one of the corpus, and the words and bytes of words that are broadcast at most.
-HOT, HOT_WORDS, HOT_BYTES = 20, 100_000, 4_000_000
+#: Documents that make a word one of the corpus; the words and bytes of words that are broadcast at most; the parts of
+#: their table.
+HOT, HOT_WORDS, HOT_BYTES, PARTS = 20, 100_000, 2_000_000, 6
 _NONE = np.int32(2**31 - 1)
 
 
@@ -184,27 +185,30 @@ class Known:
 
 def corpus_words(docs: DataFrame, tokens: list[bytes], pattern: str, text_col: str = "text") -> tuple[list[str], bytes, bytes]:
     """The hot words of the corpus, their ids and counts of ids, replayed in the partitions of the word table."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = Replay(tokens)
-        for batch in batches:
-            ids, counts = replay.words([w.encode() for w in batch.column("word").to_pylist()])
-            ends = np.cumsum(counts)
-            packed = [ids[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(packed, pa.binary())], names=["word", "n", "ids"])
-
-    made = common.cut(words.where((F.col("n") >= HOT) & (F.length("word") > 1)).mapInArrow(replayed, "word string, n long, ids binary"))
-    # the least power of two such that the words that occur so often keep within the bounds
+    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)))
+    words = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= HOT) & (F.length("word") > 1))
+    made = common.cut(words)
+    # the least power of two such that the words of so many documents keep within the bounds
     power = F.floor(F.log2("n")).cast("int")
-    sizes = made.groupBy(power.alias("power")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word") + F.octet_length("ids")).alias("bytes")).orderBy(F.desc("power")).collect()
+    sizes = made.groupBy(power.alias("power")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("power")).collect()
     least, words_, bytes_ = 64, 0, 0
     for r in sizes:
         words_, bytes_ = words_ + r.words, bytes_ + r.bytes
         if words_ > HOT_WORDS or bytes_ > HOT_BYTES:
             break
         least = r.power
-    rows = made.where(power >= least).orderBy("word").collect()
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = None
+        for batch in batches:
+            replay = replay or Replay(tokens)
+            ids, counts = replay.words([w.encode() for w in batch.column("word").to_pylist()])
+            ends = np.cumsum(counts)
+            packed = [ids[e - c : e].astype("<u4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(packed, pa.binary())], names=["word", "ids"])
+
+    hot = made.where(power >= least).select("word").repartition(PARTS, "word").mapInArrow(replayed, "word string, ids binary")
+    rows = sorted(hot.collect())
     common.drop(made)
     return [r.word for r in rows], b"".join(bytes(r.ids) for r in rows), np.array([len(r.ids) // 4 for r in rows], np.int64).tobytes()
 
