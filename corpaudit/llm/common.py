@@ -6,7 +6,6 @@ Blocks are bounded in bytes (one row at least), which bounds a task's memory.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import tempfile
 import uuid
@@ -42,9 +41,8 @@ def release() -> None:
         trim(0)
 
 
-@functools.cache
-def _local_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+#: The stand-in folder of this process, once made. A plain value: the module travels to executors by value.
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _local_dir()
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        found = _LOCAL[0]
     return found.rstrip("/")
 
 

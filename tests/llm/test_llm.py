@@ -97,7 +97,11 @@ def test_functions_travel_with_their_code(spark):
     model = toxicity.Factorization(np.zeros(0, np.int64), 0.25)
     sent = cloudpickle.dumps(lambda: float(model.score(pa.array(["a b", None]), common.Hasher()).sum()))
     code = f"import pickle; print(pickle.loads({sent!r})())"
-    assert subprocess.run([sys.executable, "-I", "-c", code], capture_output=True, text=True, cwd="/", check=True).stdout.strip() == "0.5"
+    alone = lambda code, given=b"": subprocess.run([sys.executable, "-I", "-c", code], input=given, capture_output=True, cwd="/", check=True).stdout.decode().strip()
+    assert alone(code) == "0.5"
+    # with every operator's query come all the functions that it sends, through their modules' globals
+    for query in registry.QUERIES.values():
+        assert alone("import pickle, sys; print(pickle.load(sys.stdin.buffer)())", cloudpickle.dumps(lambda query=query: query.__name__)) == query.__name__
 
 
 # --------------------------------------------------------------------- op 1
