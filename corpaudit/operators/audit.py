@@ -24,7 +24,7 @@ def analyse(paras: DataFrame, forced: DataFrame | None = None, style_names: Data
     doc = cut(structure.structure(marked))
     found, refs = cut(citations.extract_citations(marked)), cut(references.references_of(marked))
     heads = headings.headings_of(marked, doc, style_names)
-    heads = cut(heads if forced is None else headings.apply_forced(heads, forced))
+    heads = cut(heads if forced is None else headings.apply_forced(heads, forced, marked))
     matches = cut(matching.match_status(matching.match_citations(found, refs), found))
     return {"paragraphs": marked, "structure": doc, "headings": heads, "citations": found, "references": refs, "matches": matches, "usage": matching.reference_usage(matches, refs)}
 

@@ -102,10 +102,20 @@ def heading_skips(found: DataFrame) -> DataFrame:
     return found.withColumn("previous_level", before).where("previous_level > 0 and level > previous_level + 1")
 
 
-def apply_forced(found: DataFrame, forced: DataFrame) -> DataFrame:
-    """Levels set by users win; level 0 makes a heading body text."""
-    rows = found.join(forced.select("doc_id", "p_idx", F.col("level").alias("forced")), ["doc_id", "p_idx"], "left")
-    return rows.withColumn("level", F.coalesce("forced", "level")).drop("forced").where("level > 0")
+def apply_forced(found: DataFrame, forced: DataFrame, paras: DataFrame | None = None) -> DataFrame:
+    """Levels set by users win; level 0 makes a heading body text. Of several for one paragraph the highest level counts.
+
+    paras (doc_id, p_idx, t): any of its paragraphs may be made a heading, found or not; a place that no paragraph has is ignored.
+    """
+    asked = forced.where("level is not null").groupBy("doc_id", "p_idx").agg(F.max("level").cast("int").alias("forced"))
+    if paras is None:
+        rows = found.join(asked, ["doc_id", "p_idx"], "left")
+    else:
+        asked = asked.join(paras.select("doc_id", "p_idx", F.col("t").alias("own_text")), ["doc_id", "p_idx"])
+        rows = found.join(asked, ["doc_id", "p_idx"], "full").withColumn("text", F.coalesce("text", "own_text")).drop("own_text")
+        rows = rows.withColumn("confidence", F.coalesce("confidence", F.lit("high"))).withColumn("score", F.coalesce("score", F.lit(120))).withColumn("signals", F.coalesce("signals", F.array(F.lit("set by a user"))))
+    set_ = F.col("forced").isNotNull()
+    return rows.withColumn("level", F.coalesce("forced", "level")).withColumn("from_style", set_ | F.coalesce("from_style", F.lit(False))).drop("forced").where("level > 0")
 
 
 def marker_text(text: Column, level: Column) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.cache
-def _local_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+#: The stand-in folder of this process, once made.
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _local_dir()
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        found = _LOCAL[0]
     return found.rstrip("/")
 
 
