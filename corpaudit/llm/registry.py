@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, lattice, lm_score, quality, sharding, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard, lattice, lm_score, merkle, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shards": sharding.op10_shards,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL}
+ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
