@@ -1,12 +1,13 @@
 """Top-k search, Merkle manifests and conversation repair against plain versions."""
 
 import hashlib
+import math
 import random
 import zlib
 
 from pyspark.sql import functions as F
 
-from corpaudit.llm import merkle
+from corpaudit.llm import merkle, topk
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -83,3 +84,50 @@ def test_merkle_of_few_rows_and_the_query(spark, tmp_path):
     assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
     assert not all(w[-1] for w in wanted)
+
+
+# -------------------------------------------------------------------- op 12
+
+
+def plain_top_k(rows, k, asked):
+    """(query, rank, id, score) from all scores."""
+    good = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    most = topk.MOST
+    out = []
+    for q in sorted({i for i, _ in good if asked(i)}):
+        mine = min(v for i, v in good if i == q)
+        scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(mine, v, strict=False)))), i) for i, v in good if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return out
+
+
+def found_top_k(spark, rows, k, asked):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(0)).repartition(3)
+    return [tuple(r) for r in topk.top_k(df.select("vec_id", topk.scaled(F.col("embedding")).alias("v")), asked, k).orderBy("query_id", "rank").collect()]
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, vector()) for i in range(300)]
+    # a third of all rows are one vector, others tie by chance or are opposite
+    same = vector()
+    rows += [(i, same) for i in range(300, 450)] + [(i, [rng.choice([0.0, 1.0]) for _ in range(6)]) for i in range(450, 520)] + [(i, [-x for x in same]) for i in range(520, 525)]
+    rows += [(None, vector()), (1000, None), (1010, [1.0, None]), (1020, [math.nan]), (1030, [math.inf, 1.0]), (1040, []), (1050, [2.0]), (1060, vector() + [0.5]), (310, vector()), (10, same), (-20, vector()), (7, same), (7, same)]
+    asked = lambda i: i % 10 == 0
+    wanted = plain_top_k(rows, 10, asked)
+    assert found_top_k(spark, rows, 10, F.col("vec_id") % 10 == 0) == wanted
+    # many rounds, small blocks, few bins and no early end give the same
+    for name, value in (("ROUND_BYTES", 300), ("ROWS", 50), ("QUERY_ROWS", 7), ("BINS", 5), ("ENOUGH", 0)):
+        monkeypatch.setattr(topk, name, value)
+    assert found_top_k(spark, rows, 10, F.col("vec_id") % 10 == 0) == wanted
+
+
+def test_top_k_of_few_and_huge(spark):
+    huge = [(0, [1e300, 1.0]), (1, [1e300, -1e300]), (2, [-1e17, 3.0]), (3, [2.0**40, 2.0**20]), (4, [2.0**21, -(2.0**30)]), (5, [1e-300, 0.0]), (6, [-1e-300, 0.1])]
+    assert found_top_k(spark, huge, 3, F.col("vec_id") < 10) == plain_top_k(huge, 3, lambda i: True)
+    few = [(0, [1.0, 2.0]), (1, [0.0, -1.0])]
+    assert found_top_k(spark, few, 10, F.col("vec_id") == 0) == [(0, 1, 1, -2 * 1024 * 1024)]
+    assert found_top_k(spark, few, 10, F.col("vec_id") > 5) == []
+    assert found_top_k(spark, [(0, [1.0])], 10, F.col("vec_id") == 0) == []
+    assert found_top_k(spark, [(None, None)], 10, F.col("vec_id") == 0) == []
