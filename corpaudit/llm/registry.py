@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, lattice, lm_score, merkle, quality, sharding, topk, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard, lattice, lm_score, merkle, quality, repair, sharding, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_shards": sharding.op10_shards,
+    "op11_repair": repair.op11_repair,
     "op12_topk": topk.op12_topk,
     "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op12_topk": topk.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
+ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op12_topk": topk.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}

@@ -1,13 +1,16 @@
 """Top-k search, Merkle manifests and conversation repair against plain versions."""
 
+import collections
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
 
-from corpaudit.llm import merkle, topk
+from corpaudit.llm import merkle, repair, topk
 
 SHA = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -131,3 +134,111 @@ def test_top_k_of_few_and_huge(spark):
     assert found_top_k(spark, few, 10, F.col("vec_id") > 5) == []
     assert found_top_k(spark, [(0, [1.0])], 10, F.col("vec_id") == 0) == []
     assert found_top_k(spark, [(None, None)], 10, F.col("vec_id") == 0) == []
+
+
+# -------------------------------------------------------------------- op 11
+
+
+def every_repair(marks):
+    """The least (cost, audit) of all edits with two inserts at most in a place, one by one."""
+    inserts = ("", "I", "II")
+    best = None
+    for gaps in itertools.product(inserts, repeat=len(marks) + 1):
+        for moves in itertools.product("DKR", repeat=len(marks)):
+            audit, state, cost, legal = "", "", 0, True
+            for gap, move, mark in itertools.zip_longest(gaps, moves, marks):
+                for _ in gap:
+                    state += "a" if state.endswith("u") else "u"
+                    cost += 2
+                audit += gap + (move or "")
+                if move == "D":
+                    cost += 3
+                elif move:
+                    legal &= mark != "d"
+                    state += mark.lower() if move == "K" else "a" if state.endswith("u") else "u"
+                    cost += (2 if move == "R" else 0) + mark.isupper()
+            if legal and re.fullmatch("(s?(ua)+)?", state):
+                best = min(best or (cost, audit), (cost, audit))
+    return best
+
+
+def test_cheapest_edits_equal_all_edits():
+    rng = random.Random(2)
+    for marks in ["", *"suaxSUAXd", *("".join(rng.choice("suaxSUAXd") for _ in range(rng.randint(2, 4))) for _ in range(60))]:
+        assert repair.cheapest(marks) == every_repair(marks), marks
+    # tables of parts compose to the whole
+    for _ in range(60):
+        marks = "".join(rng.choice("suaaauuxSUAXd") for _ in range(rng.randint(0, 40)))
+        cuts = sorted(rng.randint(0, len(marks)) for _ in range(3))
+        parts = [marks[a:b] for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True)]
+        table = None
+        for part in parts:
+            one = [repair.cheapest(part, s, (e,)) for s in repair.STATES for e in repair.STATES]
+            table = one if table is None else repair.composed(table, one)
+        assert min(x for x in (table[0], table[3]) if x) == repair.cheapest(marks)
+
+
+def plain_repair(rows):
+    """Results of all conversations from (conv_id, turn, role, text), without Spark."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        kept = []
+        for _, turn, role, text in (r for r in rows if r[0] == conv):
+            role, text = " " if role is None else role, " " if text is None else text
+            kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            kept += [(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
+        faults, marks = collections.Counter(), ""
+        for i, (_, role, text) in enumerate(kept):
+            bare = text.strip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not bare else "duplicate" if (role, text) in [k[1:] for k in kept[:i]] else "" if bare[-1] in ".!?" else "truncated"
+            faults[fault] += 1
+            initial = role[:1] if role[:1] in tuple("sua") else "x"
+            marks += "d" if fault in ("blank", "duplicate") else initial.upper() if fault else initial
+        # dynamic programming over rows and states
+        best, nexts = {"": (0, "", "")}, {"": "u", "s": "u", "u": "a", "a": "u"}
+
+        def inserted(best):
+            for _ in range(3):
+                for state, (cost, audit, said) in list(best.items()):
+                    to = nexts[state]
+                    way = (cost + 2, audit + "I", said + ("\nuser:" if to == "u" else "\nassistant:"))
+                    best[to] = min(best.get(to, way), way)
+            return best
+
+        for mark, (_, role, text) in zip(marks, kept, strict=True):
+            after = {}
+            for state, (cost, audit, said) in inserted(best).items():
+                ways = [(state, cost + 3, audit + "D", said)]
+                if mark != "d":
+                    to, more = nexts[state], mark.isupper()
+                    ways.append((to, cost + 2 + more, audit + "R", said + ("\nuser:" if to == "u" else "\nassistant:") + text))
+                    if mark.lower() == to or (mark.lower() == "s" and state == ""):
+                        ways.append((mark.lower(), cost + more, audit + "K", said + f"\n{role}:{text}"))
+                for to, *way in ways:
+                    after[to] = min(after.get(to, tuple(way)), tuple(way))
+            best = after
+        cost, audit, said = min(w for s, w in inserted(best).items() if s in ("", "a"))
+        turns = {k[0] for k in kept} - {None}
+        pairs = [a[1][:1] + b[1][:1] for a, b in itertools.pairwise(kept)]
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, faults["blank"], faults["duplicate"], faults["truncated"], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, SHA(said[1:])))
+    return sorted(out, key=str)
+
+
+def test_repairs_equal_plain_ones(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = ["One. ", "two", "Three!\n", "", " \t", None, "is it?", "é. \x0b", "x" * 3000 + ".", "a\u2003", "one."]
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", None, "", "ulf", "User"]
+    rows = [(c if c else None, t if rng.random() > 0.1 else None, rng.choice(roles[: 4 if c % 2 else 10]), rng.choice(texts)) for c in range(25) for t in range(rng.randint(1, 14))]
+    rows += [(50, t, "user" if t % 2 == 0 else "assistant", f"Turn {t}.") for t in range(300)] + [(51, 3, "user", "same.")] * 40 + [(52, 2**40, "user", "far."), (52, 7, "assistant", "near.")]
+    rows += [(c, t, "user", "gone.") for c, t in itertools.product(range(100, 400), range(3)) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("audit", F.lit(1)).withColumn("kind", F.lit(9)).repartition(4)
+    wanted = plain_repair(rows)
+    found = repair.repaired(repair.damaged(conv))
+    assert sorted(map(tuple, found.collect()), key=str) == wanted
+    # the same in segments: none of it is gathered by conversation
+    for name, value in (("LONG_ROWS", 2), ("SEGMENT", 3), ("FAN", 2)):
+        monkeypatch.setattr(repair, name, value)
+    assert sorted(map(tuple, repair.repaired(repair.damaged(conv)).collect()), key=str) == wanted
+    assert repair.repaired(repair.damaged(conv.limit(0))).isEmpty()
