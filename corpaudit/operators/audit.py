@@ -50,22 +50,44 @@ def audit(
 
 
 def correct(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None, styles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(corrected paragraphs, changes). What changes is what the rules find: citation and reference texts, then the
-    properties, typed indents and blank paragraphs of the format rules, then the order of the references.
+    """(corrected paragraphs, changes) of ``correct_tables``."""
+    t = correct_tables(paras, settings, forced, styles)
+    return t["paragraphs"], t["changes"]
 
-    changes: doc_id, p_idx, rule_id, before, after; p_idx is the place before blank paragraphs went.
+
+def correct_tables(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None, styles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """paragraphs, changes, and styles where they are given. What changes is what the rules find: citation and reference texts, then the
+    properties, typed indents and blank paragraphs of the format rules, then styles and looks of headings, italics of
+    references, and their order. Texts change in their runs, whose looks stay.
+
+    changes: doc_id, p_idx, rule_id, before, after, reason, confidence, document_wide, field (what changed: text, or a property); p_idx is the
+    place before blank paragraphs went.
     """
-    names = None
+    names, original = None, styles
     if styles is not None:
         paras, names = cut(properties.effective_props(paras, styles)), styles.select("doc_id", "style_id", "name")
     fused, splits = structure.split_fused(paras)
     fused = cut(fused)
     t = analyse(fused, forced, names)
-    inputs = rules.rule_tables(t, settings if settings is not None else default_settings(paras), {"paragraphs", "citation_problems", "reference_problems"})
+    settings = settings if settings is not None else default_settings(paras)
+    inputs = rules.rule_tables(t, settings, {"paragraphs", "citation_problems", "reference_problems"})
     texts = cut(corrections.text_changes(inputs["citation_problems"], inputs["reference_problems"]))
-    props = cut(rules.proposed_changes(inputs["paragraphs"], rules.format_rules()))
+    props = rules.proposed_changes(inputs["paragraphs"], rules.format_rules())
+    props = cut(props.unionByName(corrections.heading_changes(t["headings"], t["paragraphs"], forced)))
     out = cut(corrections.apply_prop_changes(corrections.apply_text_changes(fused, texts), props))
-    out = cut(corrections.remove_paragraphs(corrections.reorder_references(out, t["references"]), props))
+    entries = t["references"].select("doc_id", "p_idx")
+    slanted = cut(corrections.apply_italics(out, entries))
+    italics = slanted.alias("n").join(out.alias("o"), ["doc_id", "p_idx"]).where(~F.col("n.runs").eqNullSafe(F.col("o.runs")))
+    italics = italics.select("doc_id", "p_idx", F.lit("APA-REFERENCE-008").alias("rule_id"), F.lit("not in italics").alias("before"), F.lit("in italics").alias("after"), F.lit("Journals with volumes, and titles of works, stand in italics.").alias("reason"), F.lit(0.9).alias("confidence"), F.lit(False).alias("document_wide"), F.lit("run.italic").alias("field"))
+    out = cut(corrections.remove_paragraphs(corrections.reorder_references(slanted, t["references"]), props))
     old = inputs["paragraphs"].select("doc_id", "p_idx", "text")
-    set_ = props.join(old, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "rule_id", F.when(F.col("field") == "text", F.col("text")).otherwise(F.col("field")).alias("before"), F.col("value").alias("after"))
-    return out, cut(texts.select("doc_id", "p_idx", "rule_id", "before", "after").unionByName(set_).unionByName(splits))
+    before = F.when(F.col("field") == "text", F.col("text")).otherwise(F.col("field"))
+    noted = ["reason", "confidence", "document_wide", "field"]
+    set_ = props.join(old, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "rule_id", before.alias("before"), F.col("value").alias("after"), *noted)
+    texts = texts.withColumn("document_wide", F.lit(False)).withColumn("field", F.lit("text")).select("doc_id", "p_idx", "rule_id", "before", "after", *noted)
+    splits = splits.select("*", F.lit("The heading of the list stood in another paragraph.").alias("reason"), F.lit(0.9).alias("confidence"), F.lit(False).alias("document_wide"), F.lit("split").alias("field"))
+    found = {"paragraphs": out, "changes": cut(texts.unionByName(set_).unionByName(splits).unionByName(italics))}
+    if original is not None:
+        sure = t["headings"].where("from_style or confidence = 'high'").select("doc_id", "level")
+        found["styles"] = cut(corrections.heading_styles(original, sure, settings))
+    return found
