@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpaudit import tables
 from corpaudit.operators.audit import audit
 from corpaudit.sources.corpus import to_paragraphs
 
@@ -21,12 +22,21 @@ def read_documents(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def audit_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Audits each batch of new documents by the text rules; a batch repeated after a failure overwrites its own output."""
+    """Audits each batch of new documents by the text rules.
+
+    A batch is whole when its mark stands beside its output: repeated after that it is passed over, repeated before it overwrites what it left.
+    Scratch tables go with their batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        out = audit(to_paragraphs(batch))
-        for name in ("issues", "rule_results", "report"):
-            out[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        spark, done = batch.sparkSession, f"{path}/_whole/batch={number}"
+        if tables.marked(spark, done):
+            return
+        with tables.scope(spark):
+            out = audit(to_paragraphs(batch))
+            for name in ("issues", "rule_results", "report"):
+                out[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        tables.mark(spark, done)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

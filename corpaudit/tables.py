@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_open = threading.local()
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that ``cut`` writes inside are deleted at its end: results that read them must be written by then. Scopes nest; each thread has its own."""
+    held = _open.__dict__.setdefault("scopes", [])
+    held.append([])
+    try:
+        yield
+    finally:
+        for path in held.pop():
+            place, system = _path(spark, path)
+            system.delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    scopes = _open.__dict__.get("scopes")
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def marked(spark: SparkSession, path: str) -> bool:
+    """Whether ``mark`` has been left at a path."""
+    place, system = _path(spark, path)
+    return system.exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says that what it names is whole."""
+    place, system = _path(spark, path)
+    system.create(place, True).close()
