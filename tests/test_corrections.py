@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpaudit import schemas, tables
-from corpaudit.operators import audit, corrections, properties
+from corpaudit.operators import audit, corrections, properties, report, verify
 from corpaudit.operators import runs as rn
 from corpaudit.plans import layouts
 from corpaudit.streaming import audit_stream
@@ -166,3 +166,29 @@ def test_scopes_nest(spark, tmp_path):
         with pytest.raises(Exception, match="(?i)not.*exist"):
             inner.count()
     assert tables.cut(df).count() == 3
+
+
+def test_providers(spark, tmp_path):
+    works = [("10.5/A", "Late ice on northern rivers", [("Marsh", "E.")], "J", "2018", "7", "1", "1"), ("10.5/b", "Harbours of the north", [("Okoye", "T.")], "J", "2017", "1", "1", "1")]
+    spark.createDataFrame(works, schemas.WORKS).write.parquet(f"{tmp_path}/works")
+    kind = "doc_id long, ref_idx int, doi string, title string, year string, surnames array<string>, journal struct<volume:string>"
+    refs = spark.createDataFrame([(1, 0, "10.5/a", "Late ice on northern rivers", "2018", ["Marsh"], ("7",)), (1, 1, None, "Harbours of the north", "2016", ["Okoye"], None), (1, 2, "10.5/zz", "Gone", "2000", ["Nobody"], None), (1, 3, None, "Harbours of the North", "2017", ["Okoye"], ("1",)), (2, 0, "10.5/A", "Late ice on northern rivers", "2018", ["Marsh"], ("7",))], kind)
+    status = lambda df: {(r.doc_id, r.ref_idx): r.status for r in df.collect()}
+    whole = {(1, 0): "verified", (1, 1): "probable", (1, 2): "mismatch", (1, 3): "verified", (2, 0): "verified"}
+    provider = verify.parquet_provider(spark, f"{tmp_path}/works")
+    assert status(verify.verify_references(refs, provider)) == whole == status(verify.verify_references(refs, provider.works))
+    off = verify.verify_references(refs, verify.no_provider())
+    assert set(status(off).values()) == {"unverified"} and off.first().differences == ["verification is off"]
+    # a source that cannot answer for titles: the others are answered all the same
+    down = verify.Provider("down", provider.works, lambda asked: asked.where("doi is null"))
+    found = verify.verify_references(refs, down)
+    assert status(found) == whole | {(1, 1): "provider_unavailable", (1, 3): "provider_unavailable"} and {r.confidence for r in found.where("status = 'provider_unavailable'").collect()} == {0.0}
+    assert {r.doc_id: r.provider_unavailable for r in report.verification_summary(found).collect()} == {1: True, 2: False}
+    # two lookups a document: the same title is one; what a cache knows costs none, what failed is asked again
+    assert status(verify.verify_references(refs, provider, budget=2)) == whole | {(1, 2): "unverified"}
+    asked = verify.lookups(refs, 9).where("served").groupBy("key").agg(F.min("doi").alias("doi"), F.min("title").alias("title"))
+    cache = verify.answers(asked, down)
+    assert status(verify.verify_references(refs, provider, budget=1, cache=cache)) == whole
+    assert status(verify.verify_references(refs, provider, budget=0, cache=cache)) == whole | {(1, 1): "unverified", (1, 3): "unverified"}
+    empty = verify.Provider("empty", provider.works.limit(0))
+    assert status(verify.verify_references(refs, empty, budget=9)) == {k: "unverified" if k in ((1, 1), (1, 3)) else "mismatch" for k in whole}
