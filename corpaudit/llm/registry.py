@@ -19,4 +19,4 @@ QUERIES = {
     "op12_topk": topk.op12_topk,
     "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op12_topk": topk.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
+ORACLES = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_html_text": html_text.ORACLE_SQL, "op6_lattice": lattice.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op12_topk": topk.ORACLE_SQL, "op13_merkle": merkle.ORACLE_SQL}
