@@ -61,6 +61,10 @@ LAYOUT_WORDS = frozenset(
 )
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption b i em strong a span code br hr img".split())
 MAIN = frozenset({"article", "main"})
+#: Words that say what a box is whatever else its name says: comments, other stories, adverts, notices. Articles inside do not make it text;
+#: only a main element does. With a word of STATE_WORDS a name tells of the page, not of a box.
+OTHER_WORDS = frozenset("advert advertisement advertisements advertising adverts ads adsense alert comment commenter commentlist comments consent cookie cookies disqus newsletter promo promoted recommended related replies respond sponsor sponsored sponsors".split())
+STATE_WORDS = frozenset("closed count disabled enabled has no off on open status with without".split())
 #: Distinct pages of a host that must hold a slot for it to be template, and the part of its pages.
 PAGES, PART = 3, 0.02
 #: Blocks of text that make a body of a marked box, if nothing else on the page has text.
@@ -73,7 +77,11 @@ HELD = 200_000
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^>]*>", re.S)
 _NAMED = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _DIGITS, _PARTS, _HUMP = re.compile(r"\d+"), re.compile(r"[^a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
-_FREE, _SOFT, _HARD = 0, 1, 2
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: No mark; by a word, which a body of text inside lifts; for good; by a word of OTHER_WORDS.
+_FREE, _SOFT, _HARD, _OTHER = 0, 1, 2, 3
 
 
 class Node:
@@ -93,6 +101,11 @@ def _speaks_of_other_boxes(name: str, inner: bool) -> bool:
     return bool(said) and all(w in LAYOUT_WORDS or w in NOT_TEXT_WORDS for w in words)
 
 
+def _names_another_box(name: str) -> bool:
+    words = {w for w in _PARTS.split(_HUMP.sub("-", name).lower()) if w}
+    return bool(words & OTHER_WORDS) and not words & STATE_WORDS
+
+
 def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
     """tag.class#id with numbers made alike, its mark, and whether it is a main element."""
     mark = _HARD if tag in NOT_TEXT else _FREE
@@ -100,11 +113,16 @@ def _label(tag: str, attributes: str, inner: bool) -> tuple[str, int, bool]:
     label, main = tag, tag in MAIN
     if not attributes or tag in ("html", "body"):
         return label, mark, main
+    if _HIDDEN.search(_QUOTED.sub("=", attributes)) or _UNSEEN.search(attributes):
+        mark = _HARD
     for name, value in _NAMED.findall(attributes):
         value = value.strip("\"'")
         name = name.lower()
         main = main or (name == "role" and value.strip().lower() in MAIN)
         label += {"class": ".", "id": "#", "role": "@"}[name] + ".".join(sorted(_DIGITS.sub("0", value.lower()).split()))
+        # the page's own article is text whatever its names; one inside it may be a comment or another story
+        if mark in (_FREE, _SOFT) and (tag == "article" and inner or not main) and any(map(_names_another_box, value.split())):
+            mark = _OTHER
         if mark == _FREE and not main and any(_speaks_of_other_boxes(own, inner) for own in value.split()):
             mark = _SOFT
     return label, mark, main
@@ -441,15 +459,22 @@ def page_text(source: str, aligner: Aligner, template: str | None, constant: fro
     nodes = preorder(root)
     if constant:
         aligner(nodes, template)
-    holds = set()
+    # what holds a main element, and what holds that or an article; an article in a box of other stories does not count outside it
+    holds, cores = set(), set()
     for node in reversed(nodes):
-        if (node.main or id(node) in holds) and node.mark != _HARD and node.parent is not None:
+        if node.parent is None or node.mark == _HARD:
+            continue
+        core = node.tag == "main" or "@main" in node.label or id(node) in cores
+        if core:
+            cores.add(id(node.parent))
+        if (node.main or id(node) in holds) and (core or node.mark != _OTHER):
             holds.add(id(node.parent))
 
     def mark(void: set[int]) -> None:
         for node in nodes[1:]:
             soft = node.mark == _SOFT and id(node) not in void
-            node.marked = node.parent.marked or node.mark == _HARD or soft
+            other = node.mark == _OTHER and id(node) not in cores
+            node.marked = node.parent.marked or node.mark == _HARD or soft or other
 
     mark(holds)
     if all(node.marked for node, _ in blocks):

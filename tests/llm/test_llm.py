@@ -297,6 +297,22 @@ def test_html_marks(spark):
     assert texts_of(spark, [(f"http://h{i}.org/", p) for i, p in enumerate(pages)]) == want
 
 
+def test_html_comments_stories_and_notices_go(spark):
+    main = "<main><article><h1>H</h1><p>Own words</p></article>{}</main>"
+    inside = "<article><h1>H</h1><p>Own words</p>{}</article>"
+    pages = [
+        main.format("<ol class='comment-list'><li><article class='comment-body'><p>First!</article><li><article id=div-comment-7 class='comment-body'><p>Second!</article></ol>"),
+        main.format("<section class='related-posts'><article class=card><h2>Another story</h2><p>Read it</article></section>"),
+        *(inside.format(f"<div {name}><p>Not ours<p>Nor this<p>Nor that</div>") for name in ("class='comment-content'", "class='user-comment'", "class=comment-thread", "class='alert-info'", "class=advertising", "id=disqus_thread", "hidden", "style='color: red; display:none'", "class='x' hidden=''")),
+        "<div class='cookie-box'><p>We use<p>cookies<p>ok</div>", "<body><div class='has-cookie-banner'>" + main.format("") + "</div>", "<body><div class='cookie-wall'>" + main.format("") + "</div>",
+        # a state of the page, a quoted word and a story's own class are no marks
+        "<div class='comments-open'>" + inside.format("") + "</div>", inside.format("<p title='a hidden thing'>Seen</p>"), "<article class='related'><p>Own words</article>", inside.format("<article class=part><p>A part</article>"),
+    ]
+    own = "H\nOwn words"
+    want = [own] * 11 + ["", own, own, own, own + "\nSeen", "Own words", own + "\nA part"]
+    assert texts_of(spark, [(f"http://h{i}.org/", p) for i, p in enumerate(pages)]) == want
+
+
 def test_html_deep_and_wide_pages(spark):
     deep = "<div>" * 5000 + "<p>Deep text" + "</x>" * 5000
     wide = lambda k: "".join(f"<div class=c{chr(97 + (i * k) % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>T{i} of {k}</div>" for i in range(3000))
