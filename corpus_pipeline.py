@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpaudit.llm import bpe, common, decontaminate, jaccard, quality, toxicity
 
-#: No SQL expresses the learned stages; tests hold the pipeline against a plain Python version.
+#: No SQL expresses the learned stages; tests plant rows for every stage, and hold each stage's operator against a plain version.
 ORACLE_SQL = None
 #: A document is rejected as poor below this score, and as toxic from this score on.
 POOR, TOXIC = 0.5, 0.5
