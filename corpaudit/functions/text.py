@@ -103,26 +103,29 @@ def title_case_like(text: Column) -> Column:
     return (F.size(long_) == 0) | (F.size(capital) / F.size(long_) >= 0.6)
 
 
-#: Words that stay low inside titles, and acronyms.
+#: Words that stay low inside titles, acronyms, what of a word is its name, and names of mixed case.
 MINOR = "a an and as at but by for in nor of on or per the to up via with yet".split()
 ACRONYMS = "AI APA CPI EU GDP UK US USA".split()
+NAME_IN_WORD, MIXED_CASE = r"^\W*([\p{L}\p{N}.''’-]+)\W*$", "[A-Z].*[A-Z]|[a-z][A-Z]"
 
 
 def title_case(text: Column) -> Column:
-    """Title case: minor words low unless first or last, acronyms in capitals, words of mixed case as they are."""
-    words = F.split(squeeze(text), " ")
-    minor, acronyms = F.array(*map(F.lit, MINOR)), F.array(*map(F.lit, ACRONYMS))
-
-    def one(w: Column, i: Column) -> Column:
-        core = F.regexp_extract(w, r"^\W*([\p{L}\p{N}.''’-]+)\W*$", 1)
-        lead = F.regexp_extract(w, r"^(\W*)", 1)
-        trail = F.substr(w, F.length(lead) + F.length(core) + 1)
-        inner = (i > 0) & (i < F.size(words) - 1)
-        cased = F.when(F.array_contains(acronyms, F.upper(core)), F.upper(core)).when(inner & F.array_contains(minor, F.lower(core)), F.lower(core)).otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substr(core, F.lit(2)))))
-        mixed = core.rlike("[A-Z].*[A-Z]|[a-z][A-Z]")
-        return F.when((core == "") | mixed, w).otherwise(F.concat(lead, cased, trail))
-
-    return F.array_join(F.transform(words, one), " ")
+    """Title case: minor words low unless first or last, acronyms in capitals, words of mixed case as they are.
+
+    What a word becomes is looked up by its name in lower case, in a table for the ends of the title and one for its middle; other names take a capital.
+    """
+    ends = {a.lower(): a for a in ACRONYMS}
+    tables = [F.create_map(*[F.lit(x) for pair in forms.items() for x in pair]) for forms in (ends, {m: m for m in MINOR} | ends)]
+    words = F.transform(F.split(squeeze(text), " "), lambda w: F.struct(w.alias("word"), F.regexp_extract(w, NAME_IN_WORD, 1).alias("name")))
+
+    def form(x: Column, i: Column) -> Column:
+        low, at_end = F.lower(x["name"]), i.isin(0) | (i == F.size(words) - 1)
+        known = F.when(at_end, F.try_element_at(tables[0], low)).otherwise(F.try_element_at(tables[1], low))
+        capital = F.concat(F.upper(F.left(low, F.lit(1))), F.substr(low, F.lit(2)))
+        stays = (x["name"] == "") | x["name"].rlike(MIXED_CASE)
+        return F.when(stays, x["word"]).otherwise(F.replace(x["word"], x["name"], F.coalesce(known, capital)))
+
+    return F.array_join(F.transform(words, form), " ")
 
 
 def number_word(word: Column) -> Column:
