@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpaudit.operators import citations, corrections, headings, matching, properties, references, report, requirements, rules, structure
+from corpaudit.operators import citations, corrections, headings, insertion, matching, properties, references, report, requirements, rules, structure
 from corpaudit.tables import cut
 
 
@@ -55,13 +55,16 @@ def correct(paras: DataFrame, settings: DataFrame | None = None, forced: DataFra
     return t["paragraphs"], t["changes"]
 
 
-def correct_tables(paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None, styles: DataFrame | None = None) -> dict[str, DataFrame]:
-    """paragraphs, changes, and styles where they are given. What changes is what the rules find: citation and reference texts, then the
+def correct_tables(
+    paras: DataFrame, settings: DataFrame | None = None, forced: DataFrame | None = None, styles: DataFrame | None = None, children: dict[str, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """paragraphs, changes, inserted (doc_id, text), and styles where they are given. What changes is what the rules find: citation and reference texts, then the
     properties, typed indents and blank paragraphs of the format rules, then styles and looks of headings, italics of
-    references, and their order. Texts change in their runs, whose looks stay.
+    references, and their order. Texts change in their runs, whose looks stay. Last, title-page lines that a user gives are put in (``insertion``;
+    settings with metadata).
 
     changes: doc_id, p_idx, rule_id, before, after, reason, confidence, document_wide, field (what changed: text, or a property); p_idx is the
-    place before blank paragraphs went.
+    place before blank paragraphs went and lines came in. children: tables with a block_idx (tables, figures); they come back under their names, their blocks moved.
     """
     names, original = None, styles
     if styles is not None:
@@ -86,7 +89,25 @@ def correct_tables(paras: DataFrame, settings: DataFrame | None = None, forced:
     set_ = props.join(old, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "rule_id", before.alias("before"), F.col("value").alias("after"), *noted)
     texts = texts.withColumn("document_wide", F.lit(False)).withColumn("field", F.lit("text")).select("doc_id", "p_idx", "rule_id", "before", "after", *noted)
     splits = splits.select("*", F.lit("The heading of the list stood in another paragraph.").alias("reason"), F.lit(0.9).alias("confidence"), F.lit(False).alias("document_wide"), F.lit("split").alias("field"))
-    found = {"paragraphs": out, "changes": cut(texts.unionByName(set_).unionByName(splits).unionByName(italics))}
+    gone = props.where("field = 'removed'").select("doc_id", "p_idx").distinct().join(fused.select("doc_id", "p_idx", "block_idx"), ["doc_id", "p_idx"])
+    split = splits.select("doc_id", "p_idx").join(paras.select("doc_id", "p_idx", "block_idx"), ["doc_id", "p_idx"])
+    lines = None
+    if "metadata" in settings.columns:
+        lines = cut(insertion.located(insertion.title_page_lines(t["structure"], settings), out))
+        out = cut(insertion.insert_paragraphs(out, lines, settings))
+    changes = texts.unionByName(set_).unionByName(splits).unionByName(italics)
+    if lines is not None:
+        put = lines.where("element is not null")
+        new = put.select("doc_id", F.col("at").alias("p_idx"), "rule_id", F.concat(F.lit("no "), F.replace("element", F.lit("_"), F.lit(" "))).alias("before"), F.col("text").alias("after"), F.lit("A title-page line that a user gave.").alias("reason"), F.when(F.col("rule_id") == "APA-TITLE-001", 0.9).otherwise(0.95).alias("confidence"), (F.col("rule_id") == "APA-TITLE-001").alias("document_wide"), F.lit("inserted").alias("field"))
+        changes = changes.unionByName(new)
+    found = {"paragraphs": out, "changes": cut(changes)}
+    if lines is not None:
+        found["inserted"] = put.select("doc_id", "text")
+    for name, table in (children or {}).items():
+        # each step's places are those that the one before left
+        for moves in (insertion.moves_of(split=split), insertion.moves_of(removed=gone), lines if lines is None else insertion.moves_of(lines=lines)):
+            table = table if moves is None else insertion.moved(table, moves)
+        found[name] = cut(table)
     if original is not None:
         sure = t["headings"].where("from_style or confidence = 'high'").select("doc_id", "level")
         found["styles"] = cut(corrections.heading_styles(original, sure, settings))

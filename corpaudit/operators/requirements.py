@@ -46,7 +46,7 @@ def effective_requirements(settings: DataFrame) -> DataFrame:
         F.when(F.col("abstract_required").isNotNull(), F.concat(F.lit("Instructor override: abstract "), word(F.col("abstract_required")))),
         F.when(F.col("min_references").isNotNull(), F.concat(F.lit("Instructor requirement: minimum "), F.col("min_references").cast("string"), F.lit(" references"))),
     ))
-    return settings.select("doc_id", "paper_type", font.alias("font"), size.alias("font_size"), "abstract_required", head.alias("running_head_required"), "min_references", notes.alias("overrides"))
+    return settings.select("doc_id", "paper_type", font.alias("font"), size.alias("font_size"), "abstract_required", head.alias("running_head_required"), "min_references", notes.alias("overrides"), *[c for c in ("metadata",) if c in settings.columns])
 
 
 def batch_settings(shared: dict, detected: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpaudit import schemas
@@ -244,6 +245,49 @@ def corpus_profile(spark, sf_dir):
     return corpus.profile(paras, t["structure"], t["headings"], t["citations"], t["references"]).drop("metadata", "images", "tables", "footnotes")
 
 
+def title_page_papers(spark, sf_dir):
+    """Papers of which a fourth has no title page and others lack lines of it, the values that users give, and a table of two objects a paper."""
+    k, segment = F.col("doc_id"), F.initcap("segment")
+    lacks = {2: 5, 3: 7, 4: 3}
+    paras = seeds.papers(spark, sf_dir)
+    # the break before a short paper's references would make all before it a title page
+    paras = paras.withColumn("page_break_after", F.col("page_break_after") & (k % 4 != 0))
+    for place in ("direct", "props"):
+        paras = paras.withColumn(place, F.when(k % 4 == 0, F.col(place).withField("page_break_before", F.lit(False))).otherwise(F.col(place)))
+    off = F.when(k % 4 == 0, F.col("p_idx") < 6).otherwise(F.lit(False))
+    for place, n in lacks.items():
+        off = off | ((F.col("p_idx") == place) & (k % n == 0))
+    paras = corrections.remove_paragraphs(paras, paras.where(off).select("doc_id", "p_idx", F.lit("removed").alias("field")))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("segment"))
+    values = {
+        "title": F.when(k % 8 != 4, F.concat(F.lit("Given Work of "), segment)), "author": F.concat(F.lit("Ann "), segment), "institution": F.when(k % 10 == 0, " ").otherwise(F.concat(F.lit("University of "), segment)),
+        "course_number": F.when(k % 14 != 0, "XYZ200"), "course_name": F.when(k % 14 != 0, segment), "instructor": F.when(k % 9 != 0, F.concat(F.lit("Dr. "), segment)), "due_date": F.lit(None).cast("string"),
+    }
+    settings = own.select("doc_id", F.when(k % 11 == 0, "professional").otherwise("student").alias("paper_type"), *[F.lit(None).cast(c).alias(n) for n, c in [("font", "string"), ("font_size", "int"), ("abstract_required", "boolean"), ("running_head_required", "boolean"), ("min_references", "int")]], F.struct(*[v.alias(n) for n, v in values.items()]).alias("metadata"))
+    objects = own.select("doc_id", F.explode(F.array(F.lit(0), F.lit(20))).alias("block_idx"), F.lit("own").alias("first_cell_text"))
+    return paras, requirements.effective_requirements(settings), objects
+
+
+_SEGMENT = "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS doc_id, {_SEGMENT} AS s, c_custkey % 11 = 0 AS professional,
+  CASE WHEN c_custkey % 10 <> 0 THEN 'University of ' || s END AS institution, CASE WHEN c_custkey % 14 <> 0 THEN 'XYZ200: ' || s END AS course, CASE WHEN c_custkey % 9 <> 0 THEN 'Dr. ' || s END AS instructor FROM customer),
+l AS (SELECT doc_id, list_filter(CASE WHEN doc_id % 8 = 0 THEN ['', '', '', 'Given Work of ' || s, '', 'Ann ' || s, institution, course, instructor, ''] WHEN doc_id % 4 <> 0 THEN
+  ['A Study of ' || s || ' Paper ' || doc_id, 'Sam R' || translate(doc_id::VARCHAR, '0123456789', 'abcdefghij'), CASE WHEN doc_id % 5 <> 0 THEN 'University of Somewhere' END, CASE WHEN doc_id % 7 <> 0 THEN 'ABC' || (100 + doc_id % 800) || ': Methods' END, CASE WHEN doc_id % 3 <> 0 THEN 'Dr. Lee Grey' END,
+   CASE WHEN doc_id % 5 = 0 THEN institution END, CASE WHEN doc_id % 7 = 0 AND NOT professional THEN course END, CASE WHEN doc_id % 3 = 0 AND NOT professional THEN instructor END, 'March 3, 2024'] ELSE []::VARCHAR[] END, lambda x: x IS NOT NULL) AS lines FROM c),
+p AS (SELECT doc_id, i::INT AS place, lines[i + 1] AS text FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM l)),
+n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN len(lines) ELSE len(lines) - (3 + (doc_id % 5 <> 0)::INT + (doc_id % 7 <> 0)::INT + (doc_id % 3 <> 0)::INT) END AS added FROM l)
+SELECT doc_id, place, text FROM p UNION ALL SELECT doc_id, (CASE WHEN doc_id % 8 = 0 THEN added ELSE 0 END)::INT, 'object' FROM n UNION ALL SELECT doc_id, (20 + added)::INT, 'object' FROM n""")
+def title_pages_given(spark, sf_dir):
+    """Title pages after given lines were put in, and the places of two objects, before and behind."""
+    paras, settings, objects = title_page_papers(spark, sf_dir)
+    done = audit.correct_tables(cut(paras), settings, children={"tables": objects})
+    last = Window.partitionBy("doc_id")
+    page = done["paragraphs"].withColumn("last", F.min(F.when(F.col("page_break_after"), F.col("p_idx"))).over(last)).where("p_idx <= last")
+    return page.select("doc_id", F.col("p_idx").alias("place"), "text").unionByName(done["tables"].select("doc_id", F.col("block_idx").alias("place"), F.lit("object").alias("text")))
+
+
 def _layouts(spark, sf_dir):
     t = {name: cut(df) if name in ("paragraphs", "styles") else df for name, df in layouts.tables(spark, sf_dir).items()}
     return t, requirements.effective_requirements(t["settings"])

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpaudit import schemas, tables
-from corpaudit.operators import audit, corrections, properties, report, verify
+from corpaudit.operators import audit, corrections, insertion, properties, report, requirements, verify
 from corpaudit.operators import runs as rn
 from corpaudit.plans import layouts
 from corpaudit.streaming import audit_stream
+from corpaudit.tables import cut
 from tests.test_formats import P, R, paragraphs
 
 
@@ -192,3 +193,41 @@ def test_providers(spark, tmp_path):
     assert status(verify.verify_references(refs, provider, budget=0, cache=cache)) == whole | {(1, 1): "unverified", (1, 3): "unverified"}
     empty = verify.Provider("empty", provider.works.limit(0))
     assert status(verify.verify_references(refs, empty, budget=9)) == {k: "unverified" if k in ((1, 1), (1, 3)) else "mismatch" for k in whole}
+
+
+def test_places_move_behind_what_is_put_in_removed_or_split(spark):
+    rng = random.Random(3)
+    rows = [(d, rng.choice([None, *range(12)]), f"r{i}") for i, d in enumerate(rng.choices([1, 2, 3], k=60))]
+    marks = [(d, rng.randint(0, 11), rng.choice([1, -1, 2])) for d in (1, 1, 1, 2, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, block_idx int, _by string")
+    found = insertion.moved(df, spark.createDataFrame(marks, "doc_id long, at int, by int"))
+    assert found.columns == df.columns
+    wanted = [(d, b if b is None else b + sum(by for m, at, by in marks if m == d and at <= b), r) for d, b, r in rows]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_given_title_lines_are_put_in_once_and_the_guard_lets_them_pass(spark):
+    lines = [("A Study of Rivers", {"alignment": "center"}), ("Sam Rivers", {}), ("March 3, 2024", {"flags": {"page_break_after": True}}), ("Background", {}), ("The river ran along the old town for many quiet hours.", {})]
+    paras = cut(paragraphs(spark, lines).unionByName(paragraphs(spark, lines[3:]).withColumn("doc_id", F.lit(2).cast("long"))))
+    given = "struct<title:string,author:string,institution:string,course_number:string,course_name:string,instructor:string,due_date:string,running_head:string>"
+    rows = [(d, "student", ("Own Title", "Ann Lake", "University of Lakes", None, "Water", "Dr. Reed", " ", None)) for d in (1, 2)]
+    asked = spark.createDataFrame(rows, f"doc_id long, paper_type string, metadata {given}")
+    settings = asked.selectExpr("doc_id", "paper_type", "string(null) font", "int(null) font_size", "boolean(null) abstract_required", "boolean(null) running_head_required", "int(null) min_references", "metadata")
+    settings = cut(requirements.effective_requirements(settings))
+    done = audit.correct_tables(paras, settings)
+    texts = {d: [r.text for r in done["paragraphs"].where(F.col("doc_id") == d).orderBy("p_idx").collect()] for d in (1, 2)}
+    assert texts[1] == ["A Study of Rivers", "Sam Rivers", "University of Lakes", "Water", "Dr. Reed", "March 3, 2024", "Background", lines[4][0]]
+    assert texts[2] == ["", "", "", "Own Title", "", "Ann Lake", "University of Lakes", "Water", "Dr. Reed", "", "Background", lines[4][0]]
+    put = done["changes"].where("field = 'inserted'")
+    assert {(r.doc_id, r.rule_id, r.after) for r in put.collect()} == {(1, "APA-TITLE-003", x) for x in texts[1][2:5]} | {(2, "APA-TITLE-001", x) for x in ("Own Title", "Ann Lake", "University of Lakes", "Water", "Dr. Reed")}
+    kept = done["changes"].where("field = 'text'")
+    assert not corrections.assert_preserved(paras, done["paragraphs"], kept, inserted=done["inserted"]).count()
+    assert {r.side for r in corrections.assert_preserved(paras, done["paragraphs"], kept).collect()} == {"added"}
+    # what a user gives counts as known; the title page that was made is one
+    before = {(r.doc_id, r.rule_id, r.message) for r in audit.audit(paras, settings, ("format",))["issues"].where("rule_id in ('APA-TITLE-001', 'APA-TITLE-003')").collect()}
+    assert before == {(2, "APA-TITLE-001", "No title page was found.")}
+    after = audit.audit(done["paragraphs"], settings, ("format",))
+    assert not after["issues"].where("rule_id = 'APA-TITLE-001'").count() and after["structure"].where("has_title_page").count() == 2
+    blank = done["paragraphs"].where("doc_id = 2 and p_idx in (0, 3, 9)").orderBy("p_idx").collect()
+    assert [(r.is_empty, r.page_break_after, r.props and r.props.alignment) for r in blank] == [(True, False, "center"), (False, False, "center"), (True, True, "center")] and blank[1].run_props.bold
+    assert not rn.mismatched(done["paragraphs"]).count()
