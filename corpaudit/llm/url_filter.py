@@ -13,6 +13,8 @@ Extra input columns are ignored. Counting pre-aggregates per task, so a hot host
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from . import common
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Labels that stand before a country's two letters as parts of a public suffix; others are given as a list.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
+ADDRESS = r"^[0-9]+([.][0-9]+){3}$|^\[.*\]$"
 #: Prior strength where the spread of a level says nothing, and its bounds.
 STRENGTH, LEAST, MOST = 10.0, 1.0, 1000.0
 #: Standard deviations below the posterior mean, and the bound that a page must reach.
@@ -48,10 +53,22 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     return out.select("*", rule.alias("rule"), verdict.alias("by_rule"))
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (last two labels) and suffix (last label), without a port."""
+def _levels(host: Column, suffixes: Collection[str] = ()) -> tuple[Column, Column]:
+    """Registered domain (one label more than the suffix) and suffix, without a port.
+
+    The suffix is the longest of the listed ones that the host ends in, else the last two labels where they are a common
+    second level under a country's two letters (as in co.uk), else the last label. A single label is its own domain and suffix; so
+    is an address its own domain, and all addresses share the empty suffix.
+    """
     host = F.regexp_replace(host, ":[0-9]*$", "")
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    labels = F.split(host, "[.]")
+    depth = F.when((F.size(labels) > 2) & (F.length(F.get(labels, F.size(labels) - 1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND_LEVELS), 2).otherwise(1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        listed = [s for s in suffixes if s.count(".") + 1 == n]
+        depth = F.when(F.substring_index(host, ".", -n).isin(*listed) & (F.size(labels) > n), n).otherwise(depth)
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
+    address = host.rlike(ADDRESS)
+    return F.when(address, host).otherwise(last(depth + 1)), F.when(address, "").otherwise(last(depth))
 
 
 def _strength(level: DataFrame) -> float:
@@ -69,13 +86,13 @@ def _strength(level: DataFrame) -> float:
     return MOST if share <= 1 / (MOST + 1) else max(LEAST, 1 / share - 1)
 
 
-def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputation(hosts: DataFrame, outcomes: DataFrame, suffixes: Collection[str] = ()) -> DataFrame:
     """host, posterior (mean) and spread (standard deviation) of each distinct host of hosts or outcomes.
 
-    outcomes: host, good (boolean; null counts for nothing).
+    outcomes: host, good (boolean; null counts for nothing); suffixes: public suffixes, as a list of domains has them, under which anyone may register.
     """
     own = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("int")).alias("k"))
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = _levels(F.col("host"), suffixes)
     known = common.cut(hosts.select("host").union(own.select("host")).distinct().join(own, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")))
     domains = known.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -89,7 +106,7 @@ def reputation(hosts: DataFrame, outcomes: DataFrame) -> DataFrame:
     return out.select("host", "posterior", F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("mass") + 1)).alias("spread"))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame | None = None, z: float = Z, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFrame | None = None, z: float = Z, threshold: float = THRESHOLD, suffixes: Collection[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, posterior, bound for every page.
 
     Without outcomes (host, good), pages that a rule judges are the labelled ones: good if allowed.
@@ -97,7 +114,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], outcomes: DataFr
     by_rule = judged(pages, rules)
     if outcomes is None:
         outcomes = by_rule.where("by_rule is not null").select("host", (F.col("by_rule") == "allow").alias("good"))
-    hosts = common.bounded(common.cut(reputation(by_rule, outcomes)), HOSTS)
+    hosts = common.bounded(common.cut(reputation(by_rule, outcomes, suffixes)), HOSTS)
     out = by_rule.join(hosts, "host", "left")
     bound = F.round(F.col("posterior") - z * F.col("spread"), 9)
     verdict = F.coalesce("by_rule", F.when(bound >= threshold, "allow").otherwise("block"))
@@ -128,7 +145,9 @@ ORACLE_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 split AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 ruled AS (SELECT *, {_rules_sql(False)} AS rule, {_rules_sql(True)} AS by_rule FROM split),
-known AS (SELECT host, array_to_string(list_reverse(list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'))[1:2]), '.') AS domain, list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.'))[1] AS suffix, count(by_rule)::BIGINT AS n, coalesce(sum((by_rule = 'allow')::INT), 0)::BIGINT AS k FROM ruled GROUP BY host),
+labels AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare, list_reverse(string_split(bare, '.')) AS up FROM ruled),
+leveled AS (SELECT *, regexp_matches(bare, '{ADDRESS}') AS address, CASE WHEN len(up) > 2 AND length(up[1]) = 2 AND up[2] IN {SECOND_LEVELS} THEN 2 ELSE 1 END AS depth FROM labels),
+known AS (SELECT host, CASE WHEN address THEN bare ELSE array_to_string(list_reverse(up[1:depth + 1]), '.') END AS domain, CASE WHEN address THEN '' ELSE array_to_string(list_reverse(up[1:depth]), '.') END AS suffix, count(by_rule)::BIGINT AS n, coalesce(sum((by_rule = 'allow')::INT), 0)::BIGINT AS k FROM leveled GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM known GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM known GROUP BY ALL),
 priors AS (SELECT (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM known) AS mean, {_strength_sql("suffixes")} AS m0, {_strength_sql("domains")} AS m1, {_strength_sql("known")} AS m2),
