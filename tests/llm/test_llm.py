@@ -124,6 +124,17 @@ def test_url_rules_and_reputation(spark):
     bad = spark.createDataFrame([("b.a.net", False)] * 50 + [("c.org", True)] * 50, "host string, good boolean")
     judged = {r.page_id: r for r in url_filter.filter_urls(seen, [], bad).collect()}
     assert judged[0].posterior < 0.2 and judged[0].verdict == "block" and judged[1].posterior > 0.5 and set(judged) == {0, 1}
+    # sites under a public suffix and addresses are domains of their own
+    hosts = ["a.b.co.uk", "co.uk", "b.de", "x.b.de", "10.0.0.7:80", "[::1]:8080", "localhost", "", "me.github.io", "w.me.github.io", "github.io"]
+    domain, suffix = url_filter._levels(F.col("host"), ["github.io"])
+    found = {r.host: (r.domain, r.suffix) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("domain"), suffix.alias("suffix")).collect()}
+    assert found == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "b.de": ("b.de", "de"), "x.b.de": ("b.de", "de"), "10.0.0.7:80": ("10.0.0.7", ""), "[::1]:8080": ("[::1]", ""),
+        "localhost": ("localhost", "localhost"), "": ("", ""), "me.github.io": ("me.github.io", "github.io"), "w.me.github.io": ("me.github.io", "github.io"), "github.io": ("github.io", "io"),
+    }
+    bad = spark.createDataFrame([("bad.co.uk", False)] * 50 + [("10.0.0.7", False)] * 50 + [(f"h{i}.co.uk", True) for i in range(50)] + [(f"10.0.1.{i}", True) for i in range(50)], "host string, good boolean")
+    post = {r.host: r.posterior for r in url_filter.reputation(spark.createDataFrame([("www.bad.co.uk",), ("www.h1.co.uk",)], "host string"), bad).collect()}
+    assert post["www.bad.co.uk"] < 0.2 and post["www.h1.co.uk"] > 0.5 and post["10.0.0.7"] < 0.2
 
 
 # --------------------------------------------------------------------- op 2
@@ -162,7 +173,7 @@ def edit_distance(item, text):
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(7)
-    items = [sentence(rng, rng.randint(5, 30)) for _ in range(25)] + [None, "", "two words"]
+    items = [sentence(rng, rng.randint(5, 30)) for _ in range(25)] + [None, "", "two words"] + [sentence(rng, n) for n in (1, 2, 3, 4)]
     texts = list(ODD)
     for _ in range(150):
         words = sentence(rng, rng.randint(0, 60)).split()
@@ -181,7 +192,7 @@ def test_leaks_equal_brute_force(spark):
     for d, text in enumerate(texts):
         for i, item in enumerate(items):
             words = split(item)
-            if len(words) >= decontaminate.MIN_WORDS:
+            if words:
                 distance = edit_distance(words, split(text))
                 if distance <= int(decontaminate.RATE * len(words)):
                     wanted[d, i] = distance
@@ -199,8 +210,10 @@ def test_leaks_in_capitals_and_of_few_words(spark):
     item = "ΟΔΥΣΣΕΥΣ ΛΕΓΕΙ ΠΟΛΛΟΥΣ ΜΥΘΟΥΣ ΚΑΛΟΥΣ"
     bench = spark.createDataFrame([(0, item), (1, "two words")], "item_id long, text string")
     docs = docs_of(spark, [f"x {item} y", f"x {item.lower()} y", "Two, WORDS!", "two words more", item.replace("ΛΕΓΕΙ", "ΓΡΑΦΕΙ")])
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 0), (2, 1), (4, 0)}
-    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {3}
+    found = lambda **limit: {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, **limit).collect()}
+    assert found() == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 0)} and found(min_words=5) == {(0, 0), (1, 0), (2, 1), (4, 0)}
+    assert decontaminate.decontaminate(docs, bench).isEmpty()
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, min_words=5).collect()} == {3}
 
 
 # --------------------------------------------------------------------- op 4
