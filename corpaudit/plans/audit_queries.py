@@ -60,6 +60,22 @@ def audit_rule_results(spark, sf_dir):
     return _audit(spark, sf_dir)["rule_results"]
 
 
+#: What a rule without findings says of these papers: passed always, or where there are orders, entries, or two entries; all others have nothing to judge.
+_PASSED = {
+    "true": "ABS-001 ABS-002 HEAD-001 HEAD-003 LAYOUT-002 LAYOUT-003 LAYOUT-004 LAYOUT-005 PARA-001 PARA-002 REFERENCE-001 TITLE-001 TITLE-002 TITLE-003 TITLE-004",
+    "n > 0": "CITATION-001 CITATION-008", "entries > 0": "REFERENCE-002 REFERENCE-004 REFERENCE-005 REFERENCE-007", "entries > 1": "REFERENCE-003",
+    "false": "ABBR-001 ABS-003 ABS-004 CITATION-002 FIGURE-001 FIGURE-002 FIGURE-003 HEAD-002 HEAD-004 LAYOUT-001 LAYOUT-006 NUM-001 NUM-002 PARA-003 PARA-004 QUOTE-001 QUOTE-002 REFERENCE-006 REFERENCE-008 STAT-001 TABLE-001 TABLE-002 TABLE-003 TITLE-005 TITLE-006",
+}
+_SILENT = " UNION ALL ".join(f"SELECT doc_id, unnest({[f'APA-{r}' for r in rules.split()]}) AS rule_id, CASE WHEN {where} THEN 'pass' ELSE 'not_applicable' END AS silent FROM x" for where, rules in _PASSED.items())
+
+
+@query(f"""{_WITH}, i AS ({_ISSUES}), x AS (SELECT n.doc_id, n.n, coalesce(entries, 0) AS entries FROM n LEFT JOIN c USING (doc_id)), s AS ({_SILENT})
+SELECT s.doc_id, s.rule_id, coalesce(i.status, s.silent) AS status FROM s LEFT JOIN i USING (doc_id, rule_id)""")
+def audit_rule_status(spark, sf_dir):
+    """The outcome of every rule for every paper: what was found, passed, or not there to judge."""
+    return _audit(spark, sf_dir)["rule_results"].select("doc_id", "rule_id", "status")
+
+
 @query()
 def audit_category_summary(spark, sf_dir):
     return _audit(spark, sf_dir)["category_summary"]
