@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpaudit.functions import text as fx
-from corpaudit.operators import assembly, citations, matching, references, structure
+from corpaudit.operators import assembly, audit, citations, matching, references, structure
 from corpaudit.sources import corpus
 
 CITED = [
@@ -98,3 +98,11 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     marked = structure.annotate(corpus.to_paragraphs(docs))
     assert citations.extract_citations(marked).isEmpty() and references.references_of(marked).isEmpty()
+
+
+def test_every_entry_is_judged_by_both_rules_of_its_form(spark):
+    refs = ["Marsh, E. (2018). On thaw. Annals of Cold Water, 8(1), 5–9. doi:10.5555/a", "Marsh, E. Notes that bear no year. Harbour Press."]
+    docs = spark.createDataFrame([(0, f"Rivers freeze.\nReferences\n{refs[0]}"), (1, f"Rivers freeze.\nReferences\n{refs[0]}\n{refs[1]}")], "doc_id long, text string")
+    found = audit.audit(corpus.to_paragraphs(docs))["rule_results"].where("rule_id IN ('APA-REFERENCE-004', 'APA-REFERENCE-007')").collect()
+    # an entry with an old link has a year all the same, and one without a year no old link
+    assert sorted((r.doc_id, r.rule_id[-1], r.checked, r.passed, r.status) for r in found) == [(0, "4", 1, 0, "warning"), (0, "7", 1, 1, "pass"), (1, "4", 2, 1, "warning"), (1, "7", 2, 1, "warning")]
