@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpaudit import schemas, tables
-from corpaudit.operators import audit, corrections, insertion, properties, report, requirements, verify
+from corpaudit.operators import audit, corrections, insertion, properties, report, requirements, structure, verify
 from corpaudit.operators import runs as rn
 from corpaudit.plans import layouts
+from corpaudit.sources import corpus
 from corpaudit.streaming import audit_stream
 from corpaudit.tables import cut
 from tests.test_formats import P, R, paragraphs
@@ -231,3 +232,15 @@ def test_given_title_lines_are_put_in_once_and_the_guard_lets_them_pass(spark):
     blank = done["paragraphs"].where("doc_id = 2 and p_idx in (0, 3, 9)").orderBy("p_idx").collect()
     assert [(r.is_empty, r.page_break_after, r.props and r.props.alignment) for r in blank] == [(True, False, "center"), (False, False, "center"), (True, True, "center")] and blank[1].run_props.bold
     assert not rn.mismatched(done["paragraphs"]).count()
+
+
+def test_paragraphs_are_annotated_once_and_split_papers_again(spark, monkeypatch):
+    made, plain = [], structure.annotate
+    monkeypatch.setattr(structure, "annotate", lambda df: made.append(1) or plain(df))
+    whole = spark.createDataFrame([(1, "Rivers freeze (Marsh, 2018).\nReferences\nMarsh, E. (2018). On thaw. doi:10.5555/a")], "doc_id long, text string")
+    audit.correct(corpus.to_paragraphs(whole))
+    assert len(made) == 1
+    fused = spark.createDataFrame([(2, "Rivers freeze (Marsh, 2018).\x0bReferences\nMarsh, E. (2018). On thaw. doi:10.5555/a")], "doc_id long, text string")
+    done = audit.correct(corpus.to_paragraphs(whole.union(fused)))[0].select("doc_id", "p_idx", "text").collect()
+    assert len(made) == 3
+    assert sorted(map(tuple, done)) == [(d, i, t) for d in (1, 2) for i, t in enumerate(["Rivers freeze (Marsh, 2018).", "References", "Marsh, E. (2018). On thaw. https://doi.org/10.5555/a"])]
