@@ -50,6 +50,13 @@ def test_citation_vectors(spark):
         assert found.get(i, []) == wanted, text
 
 
+def test_audit_broadcasts_no_table_that_grows_with_the_corpus(spark):
+    found = audit.audit(corpus.to_paragraphs(spark.createDataFrame([(i, "One line\nReferences\nMarsh, E. (2018). On thaw.") for i in range(9)], "doc_id long, text string")))
+    looked_at = found["inputs"] | {name: found[name] for name in ("rule_results", "category_summary", "report")}
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in looked_at.items()}
+    assert [name for name, plan in plans.items() if "BroadcastHashJoin" in plan] == []
+
+
 def test_reference_vectors(spark):
     entries = spark.createDataFrame([(1, i, t[0]) for i, t in enumerate(LISTED)], "doc_id long, p_idx int, text string")
     rows = references.parse_references(entries).orderBy("p_idx").collect()
